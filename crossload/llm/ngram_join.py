@@ -15,7 +15,7 @@ the group's hub; only pairs that are still in different components are then comp
 group of thousands of near copies costs one star and not all its pairs.
 
 Small sets use one lane per item (LANE_ITEMS), so that too few non-empty lanes can't happen; in
-larger ones there are three times d + 1 lanes.
+larger ones there are twice d + 1 lanes.
 Null, empty and wordless texts have no shingles and stay alone; fewer words than n are one shingle.
 Repeated rows share a class. An empty table gives no rows.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -38,12 +39,13 @@ LANE_ITEMS = 64
 
 
 def shingle_sets(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """doc_id, grams: the sorted distinct 64-bit hashes of the n-word shingles."""
+    """doc_id, grams, sig: the sorted distinct 64-bit hashes of the n-word shingles, and a digest
+    of them (null without words)."""
     low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
-    @F.pandas_udf("array<long>")
-    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("grams array<long>, sig binary")
+    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         h = xxhash.xxh3_64_intdigest
@@ -53,9 +55,10 @@ def shingle_sets(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
                 w = list(w)
                 grams = {h(" ".join(w[k : k + n])) for k in range(max(1, len(w) - n + 1))} if w else set()
                 out.append(np.sort(np.fromiter(grams, dtype="uint64", count=len(grams))).view("int64"))
-            yield pd.Series(out)
+            sigs = [blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None for g in out]
+            yield pd.DataFrame({"grams": out, "sig": pd.Series(sigs, dtype=object)})
 
-    return docs.select("doc_id", hashed(words).alias("grams"))
+    return docs.select("doc_id", hashed(words).alias("got")).select("doc_id", "got.grams", "got.sig")
 
 
 def band_of(size: int, percent: int = PERCENT) -> int:
@@ -68,6 +71,11 @@ def largest_difference(band: int, percent: int = PERCENT) -> int:
     return (small + small * 100 // percent) * (100 - percent) // (100 + percent) + 1
 
 
+def first_lanes(percent: int = PERCENT) -> int:
+    """The first band whose sets are split into lanes."""
+    return math.ceil(math.log(LANE_ITEMS) / math.log(100 / percent))
+
+
 def lanes(grams: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     """The keys of a set's non-empty lanes in a band."""
     items = grams.view("uint64")
@@ -77,20 +85,20 @@ def lanes(grams: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
-    if (100 / percent) ** band < LANE_ITEMS:
-        keys = x
-    else:
-        many = 3 * (d + 1)
-        lane = (items % np.uint64(many)).astype("int64")
-        sums = np.zeros(many, dtype="uint64")
-        np.bitwise_xor.at(sums, lane, x)
-        filled = np.flatnonzero(sums)
-        keys = sums[filled] + filled.astype("uint64") * np.uint64(0x94D049BB133111EB)
+    if band < first_lanes(percent):
+        return x.view("int64")  # one key for all such bands
+    many = 2 * (d + 1)
+    lane = (items % np.uint64(many)).astype("int64")
+    sums = np.zeros(many, dtype="uint64")
+    np.bitwise_xor.at(sums, lane, x)
+    filled = np.flatnonzero(sums)
+    keys = sums[filled] + filled.astype("uint64") * np.uint64(0x94D049BB133111EB)
     return (keys ^ np.uint64(band * 0x2545F4914F6CDD1D & (2**64 - 1))).view("int64")
 
 
 def lane_rows(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """classes (rep, grams) to (rep, band, need, key): need is how many of the rarest keys to join."""
+    """classes (rep, grams) to (rep, need, key): need, how many of the rarest keys to join, also
+    tells a set's bands apart."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -98,14 +106,15 @@ def lane_rows(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             for rep, g in zip(p["rep"], p["grams"]):
                 g = np.asarray(g, dtype="int64")
                 own = band_of(len(g), percent)
-                for band in {own, max(own - 1, 0)}:
+                # all bands of single items are one, joined by what the larger partner needs
+                for band in {own, own - 1} if own >= first_lanes(percent) else {own}:
                     keys.append(np.unique(lanes(g, band, percent)))
-                    heads.append((rep, band, largest_difference(band, percent) + 1))
+                    heads.append((rep, largest_difference(band, percent) + 1))
             many = [len(k) for k in keys]
-            rep, band, need = (np.repeat(x, many) for x in zip(*heads)) if heads else ([], [], [])
-            yield pd.DataFrame({"rep": rep, "band": band, "need": need, "key": np.concatenate(keys) if keys else []})
+            rep, need = (np.repeat(x, many) for x in zip(*heads)) if heads else ([], [])
+            yield pd.DataFrame({"rep": rep, "need": need, "key": np.concatenate(keys) if keys else []})
 
-    return classes.select("rep", "grams").mapInPandas(run, "rep long, band int, need int, key long")
+    return classes.select("rep", "grams").mapInPandas(run, "rep long, need int, key long")
 
 
 def groups(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -114,13 +123,13 @@ def groups(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     often = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     # a set's shared lanes only; its lanes that no other set has come before them in the order
     shared = rows.join(often, "key")
-    alone = rows.groupBy("rep", "band").agg(F.count("*").alias("all"))
-    order = Window.partitionBy("rep", "band").orderBy("often", "key")
+    alone = rows.groupBy("rep", "need").agg(F.count("*").alias("all"))
+    order = Window.partitionBy("rep", "need").orderBy("often", "key")
     ranked = shared.withColumns({
-        "place": F.row_number().over(order), "mine": F.count("*").over(Window.partitionBy("rep", "band")),
+        "place": F.row_number().over(order), "mine": F.count("*").over(Window.partitionBy("rep", "need")),
     })
     return (
-        ranked.join(alone, ["rep", "band"])
+        ranked.join(alone, ["rep", "need"])
         .where(F.col("place") + F.col("all") - F.col("mine") <= F.col("need"))
         .select("key", "rep")
     )
@@ -147,11 +156,10 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row of docs."""
-    sets = settle(
-        shingle_sets(docs, n, text).withColumn("sig", F.when(F.size("grams") > 0, F.sha2(F.concat_ws(",", F.col("grams").cast("array<string>")), 256)))
-    )
-    filled = sets.where("sig is not null")
-    classes = settle(filled.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("grams").alias("grams")))
+    made = shingle_sets(docs, n, text)
+    # hashing twice is cheaper than keeping the sets of all copies
+    sets = settle(made.select("doc_id", "sig", F.size("grams").cast("long").alias("n_shingles")))
+    classes = settle(made.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("grams").alias("grams")))
     # a set whose rep repeats as doc_id stays unique: rep is one per class
     sized = classes.withColumn("size", F.size("grams"))
     together = settle(groups(classes, percent))
@@ -180,7 +188,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
     by_rep = comp.withColumnRenamed("id", "rep")
     known = classes.select("sig", "rep").join(by_rep, "rep", "left")
     return sets.join(known, "sig", "left").select(
-        "doc_id", F.size("grams").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"),
+        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
     )
 
