@@ -58,7 +58,8 @@ def shingle_sets(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
             sigs = [blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None for g in out]
             yield pd.DataFrame({"grams": out, "sig": pd.Series(sigs, dtype=object)})
 
-    return docs.select("doc_id", hashed(words).alias("got")).select("doc_id", "got.grams", "got.sig")
+    # else a filter on one of the fields runs the function again for it
+    return docs.select("doc_id", hashed.asNondeterministic()(words).alias("got")).select("doc_id", "got.grams", "got.sig")
 
 
 def band_of(size: int, percent: int = PERCENT) -> int:
