@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, ngram_join, packing, quality, suffix_dedup, tool_calls, toxicity, url_filter
+from . import decontaminate, html_text, media, ngram_join, packing, quality, suffix_dedup, tool_calls, toxicity, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_html_extraction": html_text.op7_html_extraction,
     "op8_quality": quality.op8_quality,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_media_copies": media.op10_media_copies,
     "pipeline": pipeline,
 }
 SQL = {"op1_url_filter": url_filter.SQL}

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from crossload.llm import decontaminate, html_text, ngram_join, packing, quality, suffix_dedup, tool_calls, toxicity, url_filter
+from crossload.llm import decontaminate, html_text, media, ngram_join, packing, quality, suffix_dedup, tool_calls, toxicity, url_filter
 
 DOC = "doc_id long, text string"
 rng = random.Random(7)
@@ -129,3 +129,20 @@ def test_tool_calls(spark):
     results = spark.createDataFrame([("a", 1, "r")], "call_id string, position long, content string")
     got = {r.call_id: (r.depth, r.status) for r in tool_calls.link_calls(calls, results).collect()}
     assert got == {"a": (0, "ok"), "b": (1, "invalid"), "c": (2, "no_result"), "x": (None, "cycle"), "y": (None, "cycle"), "z": (0, "unknown_tool")}
+
+
+def test_media(spark):
+    import numpy as np
+
+    gen = np.random.default_rng(3)
+    vectors = [(k, [float(x) for x in gen.normal(size=16)]) for k in range(60)] + [(60, None), (61, []), (62, [0.5]), (63, [0.5])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {r.media_id: r for r in media.find_copies(media.derived_media(df)).collect()}
+    assert len(got) == 64 + 12
+    assert got[126].class_id == 124 and got[120].component_id == 120
+    copies = [k for k in got if k % 2]
+    assert sum(got[k].component_id == k - 1 for k in copies) >= 0.9 * len(copies)
+    assert all(got[k].component_id == got[k].class_id for k in got if k % 2 == 0)
+    odd = spark.createDataFrame([(1, b""), (2, b""), (3, b"P5 2 2 255\nabcd"), (4, b"P5 x"), (5, None)], "media_id long, image binary")
+    assert {r.media_id: r.component_id for r in media.find_copies(odd).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert media.find_copies(odd.limit(0)).count() == 0
