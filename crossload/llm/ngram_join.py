@@ -1,23 +1,26 @@
 """N-gram Jaccard join by parity sketches, exact at the threshold.
 
-A document's set holds the hashes of its distinct shingles. Documents with equal sets fall into
+A document's set holds 64-bit hashes of its distinct shingles. Documents with equal sets fall into
 one class, with the smallest doc_id as representative. At Jaccard >= t two sets of a and b items
 differ in at most d = (a + b)(1 - t)/(1 + t) items. Each size band has lanes, and each item
 flips, by XOR of a wide bit pattern, the lane that its hash names: a parity sketch. Every
 differing item changes one lane at most, so lanes that differ are a lower bound of the symmetric
 difference, and of more than d non-empty lanes at least one must agree (pigeonhole). Only the
-d + 1 rarest non-empty lanes of a set are joined (a prefix in one global order, which both
-sides share), which keeps passages that many documents share out of the join. Bands overlap:
-a set joins in its own band and in the one below, with the lanes of that band.
+first d + 1 non-empty lanes of a set are joined, in one order that all sets share, so that the
+guarantee holds: rare lanes first, by a count sketch of SLOTS counters over the lanes of all
+documents. Passages that many documents share thus stay out of the join; the counters only set the
+order, so what they confuse costs time and no link. Bands overlap: a set joins in its own band and
+in the one below, with the lanes of that band.
 
-Candidates are verified on whole sets. Within a lane's group, members are first verified against
-the group's hub; only pairs that are still in different components are then compared, so a
-group of thousands of near copies costs one star and not all its pairs.
+Candidates are verified on whole sets, in three steps: every class with the smallest hub of its
+lanes; then with its other hubs, where the components still differ; then all members of a lane
+whose components still differ. A group of thousands of near copies costs one star.
 
 Small sets use one lane per item (LANE_ITEMS), so that too few non-empty lanes can't happen; in
 larger ones there are twice d + 1 lanes.
 Null, empty and wordless texts have no shingles and stay alone; fewer words than n are one shingle.
-Repeated rows share a class. An empty table gives no rows.
+Repeated rows share a class (rows that repeat a doc_id must repeat its text). An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, settle, table
@@ -36,30 +39,26 @@ from .common import components, settle, table
 N = 5
 PERCENT = 80
 LANE_ITEMS = 64
+SLOT_BITS = 18
+SLOTS = 2**SLOT_BITS
 
 
-def shingle_sets(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """doc_id, grams, sig: the sorted distinct 64-bit hashes of the n-word shingles, and a digest
-    of them (null without words)."""
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def shingles(text: str | None, n: int = N) -> np.ndarray:
+    """The sorted distinct hashes of a text's n-word shingles. Bytes split at and lower-case
+    ASCII only, as the words are defined."""
+    import xxhash
 
-    @F.pandas_udf("grams array<long>, sig binary")
-    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest
-        for p in parts:
-            out = []
-            for w in p:
-                w = list(w)
-                grams = {h(" ".join(w[k : k + n])) for k in range(max(1, len(w) - n + 1))} if w else set()
-                out.append(np.sort(np.fromiter(grams, dtype="uint64", count=len(grams))).view("int64"))
-            sigs = [blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None for g in out]
-            yield pd.DataFrame({"grams": out, "sig": pd.Series(sigs, dtype=object)})
-
-    # else a filter on one of the fields runs the function again for it
-    return docs.select("doc_id", hashed.asNondeterministic()(words).alias("got")).select("doc_id", "got.grams", "got.sig")
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, "uint64")
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words))
+    wide = min(n, len(h))
+    m = len(h) - wide + 1
+    x = h[:m]
+    for k in range(1, wide):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + m]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(x ^ (x >> np.uint64(32)))
 
 
 def band_of(size: int, percent: int = PERCENT) -> int:
@@ -79,7 +78,7 @@ def first_lanes(percent: int = PERCENT) -> int:
 
 def lanes(grams: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     """The keys of a set's non-empty lanes in a band."""
-    items = grams.view("uint64")
+    items = grams
     d = largest_difference(band, percent)
     # a mixed copy of the hash both names the lane and is the bit pattern to flip
     x = items * np.uint64(0x9E3779B97F4A7C15)
@@ -97,97 +96,145 @@ def lanes(grams: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     return (keys ^ np.uint64(band * 0x2545F4914F6CDD1D & (2**64 - 1))).view("int64")
 
 
-def lane_rows(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """classes (rep, grams) to (rep, need, key): need, how many of the rarest keys to join, also
-    tells a set's bands apart."""
+def first_keys(size: int, band: int, percent: int = PERCENT) -> int:
+    """How many of a set's keys of a band, its own or the one below, must be joined."""
+    if band < first_lanes(percent):  # single items: those that a partner can lack
+        return size * (100 - percent) // 100 + 1
+    top = size * 100 // percent if band == band_of(size, percent) else math.floor((100 / percent) ** (band + 1)) + 1
+    return (size + top) * (100 - percent) // (100 + percent) + 1
+
+
+def set_keys(grams: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, int]]:
+    """The keys of a set in each of its bands, and how many of them to join."""
+    if not len(grams):
+        return
+    own = band_of(len(grams), percent)
+    # all bands of single items are one
+    for band in (own, own - 1) if own >= first_lanes(percent) else (own,):
+        yield lanes(grams, band, percent), first_keys(len(grams), band, percent)
+
+
+def slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.view("uint64") >> np.uint64(64 - SLOT_BITS)).astype("int64")
+
+
+def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """doc_id, sig, n_shingles per row of docs, with a digest of the set (null without words); and
+    per task the counters slot, times of its lanes, in rows without doc_id."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        times = np.zeros(SLOTS, "int64")
+        names = ["doc_id", "sig", "n_shingles", "slot", "times"]
         for p in parts:
-            heads, keys = [], []
-            for rep, g in zip(p["rep"], p["grams"]):
-                g = np.asarray(g, dtype="int64")
-                own = band_of(len(g), percent)
-                # all bands of single items are one, joined by what the larger partner needs
-                for band in {own, own - 1} if own >= first_lanes(percent) else {own}:
-                    keys.append(np.unique(lanes(g, band, percent)))
-                    heads.append((rep, largest_difference(band, percent) + 1))
-            many = [len(k) for k in keys]
-            rep, need = (np.repeat(x, many) for x in zip(*heads)) if heads else ([], [])
-            yield pd.DataFrame({"rep": rep, "need": need, "key": np.concatenate(keys) if keys else []})
-
-    return classes.select("rep", "grams").mapInPandas(run, "rep long, need int, key long")
-
-
-def groups(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, rep) of lanes that at least two classes share, after the cut to each one's rarest."""
-    rows = settle(lane_rows(classes, percent))
-    often = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    # a set's shared lanes only; its lanes that no other set has come before them in the order
-    shared = rows.join(often, "key")
-    alone = rows.groupBy("rep", "need").agg(F.count("*").alias("all"))
-    order = Window.partitionBy("rep", "need").orderBy("often", "key")
-    ranked = shared.withColumns({
-        "place": F.row_number().over(order), "mine": F.count("*").over(Window.partitionBy("rep", "need")),
-    })
-    return (
-        ranked.join(alone, ["rep", "need"])
-        .where(F.col("place") + F.col("all") - F.col("mine") <= F.col("need"))
-        .select("key", "rep")
-    )
+            rows = []
+            for doc, t in zip(p["doc_id"], p["text"]):
+                g = shingles(t, n)
+                rows.append((doc, blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None, len(g), -1, 0))
+                for keys, _ in set_keys(g, percent):
+                    np.add.at(times, slots(keys), 1)
+            yield pd.DataFrame(rows, columns=names)
+        held = np.flatnonzero(times)
+        yield pd.DataFrame({"doc_id": -1, "sig": None, "n_shingles": 0, "slot": held, "times": times[held]})
 
+    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(run, "doc_id long, sig binary, n_shingles long, slot int, times long")
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of pairs whose sets reach the threshold."""
-    left = classes.select(F.col("rep").alias("a"), F.col("grams").alias("ga"), F.size("grams").alias("na"))
-    right = classes.select(F.col("rep").alias("b"), F.col("grams").alias("gb"), F.size("grams").alias("nb"))
 
-    @F.pandas_udf("long")
-    def common(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for p, q in parts:
-            yield pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(p, q)], dtype="int64")
+def lane_rows(classes: DataFrame, times: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """classes (rep, text) to the (rep, key) that must be joined."""
+    shared = classes.sparkSession.sparkContext.broadcast(times)  # SLOTS numbers at any size of input
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            reps, found = [], [np.zeros(0, "int64")]
+            for rep, t in zip(p["rep"], p["text"]):
+                for keys, need in set_keys(shingles(t, n), percent):
+                    if need < len(keys):
+                        keys = keys[np.lexsort((keys, shared.value[slots(keys)]))[:need]]
+                    reps.append((rep, len(keys)))
+                    found.append(keys)
+            rep, many = zip(*reps) if reps else ((), ())
+            yield pd.DataFrame({"rep": np.repeat(np.array(rep, "int64"), many), "key": np.concatenate(found)})
+
+    return classes.mapInPandas(run, "rep long, key long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b) of pairs whose sets (rep, grams) reach the threshold."""
+    left = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
+
+    @F.pandas_udf("boolean")
+    def linked(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for p, q in parts:
+            out = []
+            for x, y in zip(p, q):
+                x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
+                small, large = sorted((len(x), len(y)))
+                if small * 100 < large * percent:
+                    out.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both * 100 >= (small + large - both) * percent)
+            yield pd.Series(out, dtype=bool)
+
+    return pairs.join(left, "a").join(right, "b").where(linked("ga", "gb")).select("a", "b")
+
+
+def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The (a, b) of pairs in different components."""
+    side = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     return (
-        pairs.join(left, "a").join(right, "b")
-        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .withColumn("i", common("ga", "gb"))
-        .where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent)
-        .select("a", "b")
+        pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     )
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row of docs."""
-    made = shingle_sets(docs, n, text)
-    # hashing twice is cheaper than keeping the sets of all copies
-    sets = settle(made.select("doc_id", "sig", F.size("grams").cast("long").alias("n_shingles")))
-    classes = settle(made.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("grams").alias("grams")))
-    # a set whose rep repeats as doc_id stays unique: rep is one per class
-    sized = classes.withColumn("size", F.size("grams"))
-    together = settle(groups(classes, percent))
-    sizes = sized.select("rep", "size")
-    hubs = together.groupBy("key").agg(F.min("rep").alias("a"))
-    star = together.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = settle(verified(star, classes, percent))
+    made = settle(signed(docs, n, percent, text))
+    sets = made.where("slot < 0").select("doc_id", "sig", "n_shingles")
+    counters = made.where("slot >= 0").groupBy("slot").agg(F.sum("times").alias("times")).collect()  # at most SLOTS rows
+    times = np.zeros(SLOTS, "int64")
+    for r in counters:
+        times[r["slot"]] = r["times"]
+    reps = settle(sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
+    first = lambda some: texts.join(some.hint("shuffle_hash"), "rep", "left_semi")
+    rows = settle(lane_rows(first(reps.select("rep")), times, n, percent))
+    hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("key", "hub")
+    together = settle(rows.join(hubs, "key"))
+
+    @F.pandas_udf("binary")
+    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in parts:
+            yield pd.Series([shingles(t, n).tobytes() for t in p], dtype=object)
+
+    full = settle(first(together.select("rep").distinct()).dropDuplicates(["rep"]).select("rep", hashed("text").alias("grams")))
+    star = settle(together.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    tried = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = settle(verified(tried, full, percent))
     comp = settle(components(links))
-    member = (
-        together.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("c")).join(sizes, "rep")
-    )
+    others = settle(across(star.join(tried, ["a", "b"], "left_anti"), comp))
+    more = settle(verified(others, full, percent))
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        comp = settle(components(links))
+    member = together.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     open_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    member = settle(member.join(open_keys, "key"))
+    sizes = full.select("rep", (F.octet_length("grams") / 8).alias("size"))
+    member = settle(member.join(open_keys, "key").join(sizes, "rep"))
     x, y = member.alias("x"), member.alias("y")
-    more = (
+    rest = (
         x.join(y, F.col("x.key") == F.col("y.key"))
         .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")))
         .where(F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent)
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    late = settle(verified(more, classes, percent))
+    late = settle(verified(rest, full, percent))
     if late.limit(1).count():
         comp = settle(components(links.unionByName(late)))
-    by_rep = comp.withColumnRenamed("id", "rep")
-    known = classes.select("sig", "rep").join(by_rep, "rep", "left")
+    known = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     return sets.join(known, "sig", "left").select(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
