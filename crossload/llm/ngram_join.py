@@ -12,9 +12,11 @@ documents. Passages that many documents share thus stay out of the join; the cou
 order, so what they confuse costs time and no link. Bands overlap: a set joins in its own band and
 in the one below, with the lanes of that band.
 
-Candidates are verified on whole sets, in three steps: every class with the smallest hub of its
-lanes; then with its other hubs, where the components still differ; then all members of a lane
-whose components still differ. A group of thousands of near copies costs one star.
+A lane's hub is its member that shares lanes with the most others, the middle of a group of near
+copies. Candidates whose BITS-bit parity sketches differ in more than d bits are dropped; others
+are verified on whole sets, in three steps: every class with the foremost hub of its lanes; then
+with its other hubs, where the components still differ; then the members of a lane outside of its
+largest component with the others. A group of thousands of near copies costs one star.
 
 Small sets use one lane per item (LANE_ITEMS), so that too few non-empty lanes can't happen; in
 larger ones there are twice d + 1 lanes.
@@ -40,6 +42,7 @@ N = 5
 PERCENT = 80
 LANE_ITEMS = 64
 SLOT_BITS = 18
+BITS = 512
 SLOTS = 2**SLOT_BITS
 
 
@@ -158,10 +161,18 @@ def lane_rows(classes: DataFrame, times: np.ndarray, n: int = N, percent: int =
     return classes.mapInPandas(run, "rep long, key long")
 
 
+def far(x: str, y: str, percent: int):
+    """Whether the sketches of two sets rule out that they link."""
+    bits = sum(F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(BITS // 64))
+    a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
+    return (bits * (100 + percent) > (a + b) * (100 - percent)) | (F.least(a, b) * 100 < F.greatest(a, b) * percent)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of pairs whose sets (rep, grams) reach the threshold."""
-    left = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
+    """The (a, b) of pairs whose sets (rep, size, sketch, grams) reach the threshold."""
+    brief = lambda c: sets.select(F.col("rep").alias(c), F.struct("size", "sketch").alias(f"s{c}"))
+    near = pairs.join(brief("a"), "a").join(brief("b"), "b").where(~far("sa", "sb", percent)).select("a", "b")
+    whole = lambda c: sets.select(F.col("rep").alias(c), F.col("grams").alias(f"g{c}"))
 
     @F.pandas_udf("boolean")
     def linked(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -169,15 +180,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             out = []
             for x, y in zip(p, q):
                 x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
-                small, large = sorted((len(x), len(y)))
-                if small * 100 < large * percent:
-                    out.append(False)
-                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both * 100 >= (small + large - both) * percent)
+                out.append(both * 100 >= (len(x) + len(y) - both) * percent)
             yield pd.Series(out, dtype=bool)
 
-    return pairs.join(left, "a").join(right, "b").where(linked("ga", "gb")).select("a", "b")
+    return near.join(whole("a"), "a").join(whole("b"), "b").where(linked("ga", "gb")).select("a", "b")
 
 
 def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -201,35 +208,45 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
     texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
     first = lambda some: texts.join(some.hint("shuffle_hash"), "rep", "left_semi")
     rows = settle(lane_rows(first(reps.select("rep")), times, n, percent))
-    hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("key", "hub")
-    together = settle(rows.join(hubs, "key"))
-
-    @F.pandas_udf("binary")
-    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    often = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    shared = settle(rows.join(often, "key"))
+    weight = shared.groupBy("rep").agg(F.sum("often").alias("weight"))
+    rank = F.struct("weight", (-F.col("rep")).alias("order"))
+    hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(rank).alias("m")).select("key", F.col("m.weight").alias("weight"), (-F.col("m.order")).alias("hub"))
+    together = settle(shared.select("key", "rep").join(hubs, "key"))
+
+    @F.pandas_udf("size int, sketch array<long>, grams binary")
+    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.Series([shingles(t, n).tobytes() for t in p], dtype=object)
-
-    full = settle(first(together.select("rep").distinct()).dropDuplicates(["rep"]).select("rep", hashed("text").alias("grams")))
-    star = settle(together.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    tried = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            rows = []
+            for t in p:
+                g = shingles(t, n)
+                odd = np.bincount((g % np.uint64(BITS)).astype("int64"), minlength=BITS) & 1
+                rows.append((len(g), np.packbits(odd.astype("uint8")).view("int64"), g.tobytes()))
+            yield pd.DataFrame(rows, columns=["size", "sketch", "grams"])
+
+    members = first(together.select("rep").distinct()).dropDuplicates(["rep"])
+    full = settle(members.select("rep", hashed.asNondeterministic()("text").alias("got")).select("rep", "got.*"))
+    star = settle(
+        together.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("weight").alias("weight"))
+    )
+    tried = star.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
     links = settle(verified(tried, full, percent))
     comp = settle(components(links))
-    others = settle(across(star.join(tried, ["a", "b"], "left_anti"), comp))
+    others = settle(across(star.select("a", "b").join(tried, ["a", "b"], "left_anti"), comp))
     more = settle(verified(others, full, percent))
     if more.limit(1).count():
         links = links.unionByName(more)
         comp = settle(components(links))
     member = together.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    open_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    sizes = full.select("rep", (F.octet_length("grams") / 8).alias("size"))
-    member = settle(member.join(open_keys, "key").join(sizes, "rep"))
-    x, y = member.alias("x"), member.alias("y")
+    open_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.mode("c").alias("main")).where("lo <> hi").select("key", "main")
+    member = settle(member.join(open_keys, "key").join(full.select("rep", "size", "sketch"), "rep"))
+    x, y = member.where("c <> main").alias("x"), member.alias("y")
+    differ = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
     rest = (
-        x.join(y, F.col("x.key") == F.col("y.key"))
-        .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")))
-        .where(F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent)
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
+        x.join(y, (F.col("x.key") == F.col("y.key")) & differ & ~far("x", "y", percent))
+        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     late = settle(verified(rest, full, percent))
     if late.limit(1).count():
