@@ -174,17 +174,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     near = pairs.join(brief("a"), "a").join(brief("b"), "b").where(~far("sa", "sb", percent)).select("a", "b")
     whole = lambda c: sets.select(F.col("rep").alias(c), F.col("grams").alias(f"g{c}"))
 
-    @F.pandas_udf("boolean")
-    def linked(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for p, q in parts:
-            out = []
-            for x, y in zip(p, q):
-                x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both * 100 >= (len(x) + len(y) - both) * percent)
-            yield pd.Series(out, dtype=bool)
-
-    return near.join(whole("a"), "a").join(whole("b"), "b").where(linked("ga", "gb")).select("a", "b")
+    a, b, both = F.size("ga"), F.size("gb"), F.size(F.array_intersect("ga", "gb"))
+    return near.join(whole("a"), "a").join(whole("b"), "b").where(both * 100 >= (a + b - both) * percent).select("a", "b")
 
 
 def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -215,14 +206,14 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
     hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(rank).alias("m")).select("key", F.col("m.weight").alias("weight"), (-F.col("m.order")).alias("hub"))
     together = settle(shared.select("key", "rep").join(hubs, "key"))
 
-    @F.pandas_udf("size int, sketch array<long>, grams binary")
+    @F.pandas_udf("size int, sketch array<long>, grams array<long>")
     def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for t in p:
                 g = shingles(t, n)
                 odd = np.bincount((g % np.uint64(BITS)).astype("int64"), minlength=BITS) & 1
-                rows.append((len(g), np.packbits(odd.astype("uint8")).view("int64"), g.tobytes()))
+                rows.append((len(g), np.packbits(odd.astype("uint8")).view("int64"), g.view("int64")))
             yield pd.DataFrame(rows, columns=["size", "sketch", "grams"])
 
     members = first(together.select("rep").distinct()).dropDuplicates(["rep"])
