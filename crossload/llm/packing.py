@@ -16,6 +16,7 @@ no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ CAPACITY = 4096
 END_ID = 1
 BUCKETS = 256
 TEXTS_AT_ONCE = 64
+KNOWN_CHUNKS = 300_000
 
 
 def tokenizer_path() -> str:
@@ -39,20 +41,42 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoder(path: str | None = None):
+    """A function from text to token ids. The tokenizer drops white space and no token crosses it,
+    so a text's ids are those of its chunks between spaces and line feeds; chunks seen before are
+    remembered, up to KNOWN_CHUNKS."""
+    from tokenizers import Tokenizer
+
+    made, known = Tokenizer.from_file(path or tokenizer_path()), {}
+
+    def encode(text: str) -> list[int]:
+        ids: list[int] = []
+        for chunk in re.split("[ \n]+", text):
+            got = known.get(chunk)
+            if got is None:
+                if len(known) >= KNOWN_CHUNKS:
+                    known.clear()
+                got = made.encode(chunk, add_special_tokens=False).ids
+                if len(chunk) < 100:
+                    known[chunk] = got
+            ids += got
+        return ids
+
+    return encode
+
+
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text) to pieces: doc_id, piece, start, length, ids_crc32."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_file(path or tokenizer_path())
+        encode = encoder(path)
         for p in parts:
             for k in range(0, len(p), TEXTS_AT_ONCE):
                 some = p.iloc[k : k + TEXTS_AT_ONCE]
                 rows = []
                 for doc, text in zip(some["doc_id"], some["text"]):
-                    ids = np.array([*made.encode(text or "", add_special_tokens=False).ids, END_ID], dtype="<u4")
+                    ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
                     for n, s in enumerate(range(0, len(ids), capacity)):
                         piece = ids[s : s + capacity]
                         rows.append((doc, n, s, len(piece), zlib.crc32(piece.tobytes())))

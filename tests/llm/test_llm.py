@@ -146,3 +146,13 @@ def test_media(spark):
     odd = spark.createDataFrame([(1, b""), (2, b""), (3, b"P5 2 2 255\nabcd"), (4, b"P5 x"), (5, None)], "media_id long, image binary")
     assert {r.media_id: r.component_id for r in media.find_copies(odd).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
     assert media.find_copies(odd.limit(0)).count() == 0
+
+
+def test_encoder_equals_whole_texts():
+    from tokenizers import Tokenizer
+
+    made, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.encoder()
+    odd = ["", " ", "a\n\n b", "e \u0301x", "it's  <|endoftext|> we'll<|startoftext|>", "x\x1cy\tz\u00a0w", "\u03a3\u03a3 \u03a3", "!!! ??\n12 34", " lead", "trail \n"]
+    odd += ["".join(rng.choice("aB1 '\n\t!\u00e9\u0301\u4e2d\u200b\u3000<|>s") for _ in range(60)) for _ in range(400)]
+    for t in odd:
+        assert encode(t) == made.encode(t, add_special_tokens=False).ids, repr(t)
