@@ -46,7 +46,13 @@ def hashes(text: str | None, n: int) -> np.ndarray:
     w = words(text)
     if not w:
         return np.zeros(0, "int64")
-    return np.array([xxhash.xxh3_64_intdigest(" ".join(w[k : k + n])) for k in range(max(1, len(w) - n + 1))], dtype="uint64").view("int64")
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), "uint64", len(w))
+    wide = min(n, len(h))
+    m = len(h) - wide + 1
+    x = h[:m]
+    for k in range(1, wide):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + m]
+    return (x ^ (x >> np.uint64(31))).view("int64")
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> int:
@@ -91,7 +97,9 @@ def hits(docs: DataFrame, known: DataFrame, n: int = N) -> DataFrame:
             rows = []
             for doc, sig, text in zip(p["doc_id"], p["sig"], p["text"]):
                 h = hashes(text, n)
-                at = np.flatnonzero(np.isin(h, wanted.value)) if wanted.value is not None else np.arange(len(h))
+                at = np.arange(len(h))
+                if (some := wanted.value) is not None:
+                    at = np.flatnonzero(some[np.searchsorted(some, h).clip(max=len(some) - 1)] == h) if len(some) else at[:0]
                 rows += [(doc, sig, int(h[k]), int(k)) for k in at]
             yield pd.DataFrame(rows, columns=["doc_id", "sig", "h", "pos"])
 
