@@ -148,6 +148,18 @@ def test_media(spark):
     assert media.find_copies(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [64, 0])
+def test_media_links_copies_behind_a_stranger(spark, crowd, monkeypatch):
+    """A stranger with a smaller id that holds every key of two copies does not hide their link."""
+    monkeypatch.setattr(media.matches, "__defaults__", (media.FAR_BITS, crowd))
+    bits = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(6)]
+    at = lambda ident, move: [(ident, n, *move(n), 1.0, 0.0, *b) for n, b in enumerate(bits)]
+    rows = at(1, lambda n: (n * n * 97.0, n * 61.0)) + at(2, lambda n: (n * 20.0, n * 7.0)) + at(3, lambda n: (n * 20.0 + 3, n * 7.0 + 5))
+    df = spark.createDataFrame(rows, "id long, corner int, x float, y float, scale float, angle float, d0 long, d1 long")
+    assert [tuple(r) for r in media.consensus(df).collect()] == [(2, 3)]
+    assert media.matches(df).count() == 3 * 6 * media.TABLES
+
+
 def test_encoder_equals_whole_texts():
     from tokenizers import Tokenizer
 
