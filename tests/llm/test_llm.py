@@ -160,6 +160,31 @@ def test_media_links_copies_behind_a_stranger(spark, crowd, monkeypatch):
     assert media.matches(df).count() == 3 * 6 * media.TABLES
 
 
+def test_media_crops_and_resized(spark):
+    """At least 0.9 of each kind: crops of half the area, crops of a quarter of large pictures, and resized copies."""
+    import numpy as np
+
+    gen, images, kind = np.random.default_rng(5), [], {}
+    small, large = [media.draw(gen.normal(size=16)) for _ in range(30)], []
+    for k in range(0, 24, 4):
+        four = [media.draw(gen.normal(size=16)) for _ in range(4)]
+        large.append(np.vstack([np.hstack(four[:2]), np.hstack(four[2:])]))
+    edits = [("half", small, lambda i: i[14:82, 20:88]), ("smaller", small, lambda i: media.resize(i, 72, 72)), ("larger", small, lambda i: media.resize(i, 144, 144)),
+             ("quarter", large, lambda i: i[50:146, 40:136])]
+    for n, image in enumerate(small + large):
+        images.append((10 * n, media.write_grey(image)))
+    for e, (name, of, edit) in enumerate(edits):
+        for n, image in enumerate(of):
+            ident = 10 * (n + (len(small) if of is large else 0)) + e + 1
+            images.append((ident, media.write_grey(edit(image))))
+            kind[ident] = name
+    got = {r.media_id: r.component_id for r in media.find_copies(spark.createDataFrame(images, "media_id long, image binary")).collect()}
+    assert all(got[i] == i for i in got if i % 10 == 0)
+    for name in ("half", "smaller", "larger", "quarter"):
+        found = [got[i] == i // 10 * 10 for i in kind if kind[i] == name]
+        assert sum(found) >= 0.9 * len(found), (name, sum(found), len(found))
+
+
 def test_encoder_equals_whole_texts():
     from tokenizers import Tokenizer
 
