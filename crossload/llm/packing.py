@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -66,7 +65,7 @@ def encoder(path: str | None = None):
 
 
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """docs (doc_id, text) to pieces: doc_id, piece, start, length, ids_crc32."""
+    """docs (doc_id, text) to pieces: doc_id, piece, start, length, ids (little-endian 32-bit)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,11 +78,11 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> D
                     ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
                     for n, s in enumerate(range(0, len(ids), capacity)):
                         piece = ids[s : s + capacity]
-                        rows.append((doc, n, s, len(piece), zlib.crc32(piece.tobytes())))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((doc, n, s, len(piece), piece.tobytes()))
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        run, "doc_id long, piece int, start long, length long, ids binary"
     )
 
 
@@ -170,10 +169,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
     )
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """Packed pieces to sequence_id, n_tokens, ids: the sequences themselves, pieces in the order of their offsets."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
+    whole = F.aggregate(F.transform(parts, lambda p: p["ids"]), F.lit(bytearray()), lambda ids, more: F.concat(ids, more))
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), whole.alias("ids"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = settle(cut(table(spark, sf_dir, "documents")))
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack(settle(cut(table(spark, sf_dir, "documents"))))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(settle(cut(docs))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack(settle(cut(docs)))
+    return packed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -51,6 +51,24 @@ def test_packing(spark, docs):
     assert packing.pack(packing.cut(df.limit(0)).cache()).count() == 0
 
 
+def test_packed_sequences_hold_the_tokens(spark, docs):
+    import zlib
+
+    df = spark.createDataFrame(docs + [(99, prose(9000))], DOC)
+    encode = packing.encoder()
+    packed = packing.stage_packing(spark, df, "").cache()
+    whole = {r.sequence_id: bytes(r.ids) for r in packing.sequences(packed).collect()}
+    texts = collections.defaultdict(dict)
+    for r in packed.collect():
+        ids = whole[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)]
+        assert ids == bytes(r.ids) and zlib.crc32(ids) == r.ids_crc32
+        texts[r.doc_id][r.start] = ids
+    assert sum(map(len, whole.values())) == 4 * sum(r.length for r in packed.collect())
+    for i, t in df.collect():
+        want = b"".join(k.to_bytes(4, "little") for k in [*encode(t or ""), packing.END_ID])
+        assert b"".join(texts[i][s] for s in sorted(texts[i])) == want
+
+
 def brute_components(docs):
     sets = {}
     for i, t in docs:
