@@ -166,6 +166,15 @@ def upsert_contacts(spark, d):
     return r.upsert(current, new, "id", ["destination_id"])
 
 
+@query("SELECT coalesce(m.source_id, c.id) AS id, coalesce(m.destination_id, 'D-' || c.id) AS destination_id, CASE WHEN c.id IS NULL THEN 'old' ELSE c.email END AS email "
+       "FROM known_contact m FULL JOIN (SELECT id, email FROM raw_contact WHERE id <> '') c ON m.source_id = c.id")
+def upsert_all_contacts(spark, d):
+    """All identified contacts; known_contact also has entries (G...) that the export no longer holds."""
+    current = read(spark, d, "known_contact").select(C("source_id").alias("id"), "destination_id", F.lit("old").alias("email"))
+    new = read(spark, d, "raw_contact").where("id <> ''").select("id", F.concat(F.lit("D-"), "id").alias("destination_id"), "email")
+    return r.upsert(current, new, "id", ["destination_id"])
+
+
 @query("SELECT state, entity, count(*) AS n FROM raw_job WHERE state IN ('FAILED', 'UNSUPPORTED') GROUP BY state, entity")
 def error_summary(spark, d):
     return read(spark, d, "raw_job").where(C("state").isin("FAILED", "UNSUPPORTED")).groupBy("state", "entity").agg(F.count("*").alias("n"))

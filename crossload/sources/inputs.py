@@ -56,6 +56,10 @@ SELECT doc_id AS k, concat('F', CAST(doc_id AS STRING)) AS id,
   n_chars AS size, CASE WHEN doc_id % 4 = 3 THEN n_chars + 1 ELSE n_chars END AS stored_size, text FROM documents"""),
     "object_map": (["customer"], """
 SELECT concat('C', lpad(CAST(c_custkey AS STRING), 6, '0')) AS source_id, concat('D', CAST(c_custkey AS STRING)) AS destination_id
+FROM customer WHERE c_custkey % 3 = 0"""),
+    "known_contact": (["customer"], """
+SELECT CASE WHEN c_custkey % 21 = 0 THEN concat('G', lpad(CAST(c_custkey AS STRING), 6, '0')) ELSE concat('C', lpad(CAST(c_custkey AS STRING), 6, '0')) END AS source_id,
+  concat('D', CAST(c_custkey AS STRING)) AS destination_id
 FROM customer WHERE c_custkey % 3 = 0"""),
 }
 

@@ -16,3 +16,11 @@ def test_oracle(spark, name):
     want = con.sql(f"select {','.join(cols)} from ({q.SQL[name]}) t").fetchall()
     plain = lambda rows: sorted(tuple(map(str, r)) for r in rows)
     assert plain(got.select(*cols).collect()) == plain(want)
+
+
+def test_upsert_takes_every_identified_contact(spark):
+    got = {r.id: r for r in q.QUERIES["upsert_all_contacts"](spark, SF).collect()}
+    contacts = [r.id for r in q.read(spark, SF, "raw_contact").where("id <> ''").collect()]
+    assert set(contacts) <= set(got) and all(got[i].email != "old" for i in contacts)
+    gone = [r for i, r in got.items() if i not in set(contacts)]
+    assert gone and all(r.email == "old" and not r.destination_id.startswith("D-") for r in gone)
