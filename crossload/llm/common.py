@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,20 +15,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a session
+    on this machine alone (tests) gets a temporary one; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, made of name."""
+    taken, name = {c.lower() for c in df.columns}, f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and no later step redoes the work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._settled = path
+    return made
+
+
+def drop(*settled: DataFrame) -> None:
+    """Delete tables made by settle that nothing reads any more."""
+    for df in settled:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._settled)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -59,7 +81,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(low2.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        pairs = settle(nxt)
+        last, pairs = pairs, settle(nxt)
+        drop(last)
         now = state(pairs)
         if now == before:
             break

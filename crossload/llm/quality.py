@@ -2,10 +2,14 @@
 
 A text is compressed in CHUNK-byte pieces under both dictionaries; the difference of the two
 sizes over their sum becomes a score through a logistic fit. The dictionaries are fitted on a
-bounded sample: at most SAMPLE rows per class, those with the smallest hash of doc_id, and at
-most SAMPLE_BYTES of each (documented bound). Scoring reads whole texts.
-
-Null and empty texts have difference 0. With one class missing the score is the class rate.
+bounded sample, at most SAMPLE labelled rows of each class, those with the smallest hash of
+doc_id, whole and without repeated texts; every second one teaches and the others calibrate. Each
+dictionary is made in a task of its own. Scoring reads whole texts.
+
+Null and empty texts have difference 0. With one class missing, or no labels, the score is the
+smoothed rate of all labels. Ties and repeated rows score alike; an id that is labelled twice has its
+higher label. Very long texts are compressed piece by piece. An empty table gives no rows. score()
+replaces a column of its output's name and keeps all others.
 """
 
 from __future__ import annotations
@@ -14,16 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, settle, table
 from .toxicity import held_out, logistic, training
 
 SAMPLE = 3000
-SAMPLE_BYTES = 4000
-DICT_BYTES = 112_000
-CHUNK = 2000
+DICT_BYTES = 30_000
+SLICE = 500
+CHUNK = 500
+LEVEL = 3
 KEEP = 0.3
 
 
@@ -31,22 +36,23 @@ def learn_dictionary(texts: list[str]) -> bytes:
     """A trained zstandard dictionary; few texts serve as raw content instead."""
     import zstandard
 
-    parts = [b for t in texts for b in [t.encode()[k : k + 500] for k in range(0, min(len(t.encode()), SAMPLE_BYTES), 500)] if b]
+    parts = [raw[k : k + SLICE] for raw in map(str.encode, texts) for k in range(0, len(raw), SLICE)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
     except zstandard.ZstdError:
         return b"".join(parts)[:DICT_BYTES]
 
 
-def with_difference(docs: DataFrame, good: bytes, bad: bytes, text: str = "text") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((good, bad))
+def measured(good: bytes, bad: bytes, spark: SparkSession):
+    """A column function from text to the difference of its sizes."""
+    shared = spark.sparkContext.broadcast((good, bad))
 
     @F.pandas_udf("double")
     def measure(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import zstandard
 
         packers = [
-            zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_dict_id=False)
+            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_dict_id=False)
             for d in shared.value
         ]
         for p in parts:
@@ -57,45 +63,44 @@ def with_difference(docs: DataFrame, good: bytes, bad: bytes, text: str = "text"
                 out.append((b - g) / (b + g) if raw else 0.0)
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("difference", measure(F.col(text)))
+    return measure
 
 
 def fit(train: DataFrame) -> dict:
-    """train (text, label) to a model; half of the sample calibrates what the other half taught."""
-    sides = []
-    for label in (1, 0):
-        rows = (
-            train.where((F.col("label") == label) & (F.length("text") > 0))
-            .select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("text").alias("h"))
-            .orderBy("h", "text").limit(SAMPLE).select("text").collect()
-        )
-        sides.append([r["text"] for r in rows])
-    n = min(map(len, sides))
-    if not n:
-        rate = train.agg(F.avg("label")).first()[0]
+    """train (text, label 0/1, and weight and doc_id or all alike; bounded) to a model."""
+    for name, value in (("weight", F.lit(1.0)), ("doc_id", F.xxhash64("text"))):
+        train = train if name in train.columns else train.withColumn(name, value)
+    first = train.where(F.length("text") > 0).groupBy("label", "text").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("o"), F.max("weight").alias("weight"))
+    halves = first.withColumn("half", F.row_number().over(Window.partitionBy("label").orderBy("o", "text")) % 2)
+
+    def teach(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": p["label"].iloc[:1], "made": [learn_dictionary(list(p["text"]))]})
+
+    taught = halves.where("half = 1").select("label", "text").groupBy("label").applyInPandas(teach, "label int, made binary")
+    made = {r["label"]: bytes(r["made"]) for r in taught.collect()}
+    if len(made) < 2:
+        rate = train.agg(F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).first()[0]
         p = min(max(0.5 if rate is None else rate, 0.01), 0.99)
         return {"good": b"", "bad": b"", "slope": 0.0, "base": float(np.log(p / (1 - p)))}
-    # texts of even rank teach and those of odd rank calibrate, so the fit is not on taught text
-    good, bad = (learn_dictionary(s[::2]) for s in sides)
-    spark = train.sparkSession
-    rest = [(t, 1) for t in sides[0][1::2]] + [(t, 0) for t in sides[1][1::2]]
-    x, y = [], []
-    if rest:
-        got = with_difference(spark.createDataFrame(rest, "text string, label int"), good, bad).select("difference", "label").collect()
-        x, y = [r[0] for r in got], [r[1] for r in got]
-    slope, base = logistic(np.array(x) * 20, np.array(y, float), np.ones(len(x))) if x else (1.0, 0.0)
-    return {"good": good, "bad": bad, "slope": slope * 20, "base": base}
+    rest = halves.where("half = 0").select(measured(made[1], made[0], train.sparkSession)("text").alias("x"), "label", "weight")
+    got = np.array([tuple(r) for r in rest.collect()], float).reshape(-1, 3)
+    x, y, n = got.T
+    slope, base = logistic(x * 20, y * n, n) if len(got) else (1.0, 0.0)
+    return {"good": made[1], "bad": made[0], "slope": slope * 20, "base": base}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    x = F.col("difference") * F.lit(float(model["slope"])) + F.lit(float(model["base"]))
-    return with_difference(docs, model["good"], model["bad"], text).withColumn("score", 1 / (1 + F.exp(-x))).drop("difference")
+def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with a score of 0 to 1 in the column out."""
+    x = measured(model["good"], model["bad"], docs.sparkSession)(F.col(text)) * F.lit(float(model["slope"])) + F.lit(float(model["base"]))
+    return docs.withColumn(out, 1 / (1 + F.exp(-x)))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out(5, 0)
-    model = fit(training(docs, table(spark, sf_dir, "labels"), "quality", ~out))
+    train = settle(training(docs, table(spark, sf_dir, "labels"), "quality", ~out, SAMPLE))
+    model = fit(train)
+    drop(train)
     return score(docs, model).select(
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted")
     )
