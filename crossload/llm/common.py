@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -45,11 +46,14 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def drop(*settled: DataFrame) -> None:
-    """Delete tables made by settle that nothing reads any more."""
+    """Delete tables made by settle that nothing reads any more. Shuffle files go with the plans
+    that the driver has forgotten, so it is asked to collect its garbage."""
     for df in settled:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._settled)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    settled[0].sparkSession._jvm.System.gc()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -1,28 +1,33 @@
 """N-gram Jaccard join by parity sketches, exact at the threshold.
 
-A document's set holds 64-bit hashes of its distinct shingles. Documents with equal sets fall into
-one class, with the smallest doc_id as representative. At Jaccard >= t two sets of a and b items
-differ in at most d = (a + b)(1 - t)/(1 + t) items. Each size band has lanes, and each item
-flips, by XOR of a wide bit pattern, the lane that its hash names: a parity sketch. Every
-differing item changes one lane at most, so lanes that differ are a lower bound of the symmetric
-difference, and of more than d non-empty lanes at least one must agree (pigeonhole). Only the
-first d + 1 non-empty lanes of a set are joined, in one order that all sets share, so that the
-guarantee holds: rare lanes first, by a count sketch of SLOTS counters over the lanes of all
-documents. Passages that many documents share thus stay out of the join; the counters only set the
-order, so what they confuse costs time and no link. Bands overlap: a set joins in its own band and
-in the one below, with the lanes of that band.
-
-A lane's hub is its member that shares lanes with the most others, the middle of a group of near
-copies. Candidates whose BITS-bit parity sketches differ in more than d bits are dropped; others
-are verified on whole sets, in three steps: every class with the foremost hub of its lanes; then
-with its other hubs, where the components still differ; then the members of a lane outside of its
-largest component with the others. A group of thousands of near copies costs one star.
+A document's set holds 64-bit hashes of its distinct shingles; equal sets are one class, named by a
+digest. At Jaccard >= t two sets of a and b items differ in at most d = (a + b)(1 - t)/(1 + t)
+items. Each size band has lanes, and each item flips, by XOR of a wide bit pattern, the lane that
+its hash names: a parity sketch. Every differing item changes one lane at most, so lanes that differ
+are a lower bound of the symmetric difference, and of more than d non-empty lanes at least one must
+agree (pigeonhole). Only the first d + 1 non-empty lanes of a set are joined, in one order that all
+sets share, so that the guarantee holds: rare lanes first. How often lanes occur is counted over all
+documents (each task drops what it has met once); the FREQUENT most frequent ones make the order, and
+what the count misses costs time and no link. Passages that many documents share thus stay out of
+the join. A band spans sizes of 1 to (1/t)^STEPS; a set whose smallest partner is of the band below
+joins there as well, with the lanes of that band.
+
+Lanes are dealt by key once and sorted; a scan keeps those of several sets, so that only they are
+written. A lane met very often is dealt in several parts. A lane's hub is its member that shares
+lanes with the most others, the middle of a group of near copies. Candidates whose BITS-bit parity
+sketches differ in more than d bits are dropped; others are verified on whole sets, in three steps:
+every class with the foremost hub of its lanes; then with its other hubs, where the components still
+differ; then the members of a lane outside of its largest component with the others. A group of
+thousands of near copies costs one star.
 
 Small sets use one lane per item (LANE_ITEMS), so that too few non-empty lanes can't happen; in
 larger ones there are twice d + 1 lanes.
+
 Null, empty and wordless texts have no shingles and stay alone; fewer words than n are one shingle.
-Repeated rows share a class (rows that repeat a doc_id must repeat its text). An empty table gives
-no rows.
+Repeated rows share a class. Rows may share a doc_id and differ in text, or have none: each text is
+compared, and a component is named by its smallest doc_id (null if all of its rows have none). Very
+long texts are hashed whole, in one row's memory. An empty table gives no rows. Other columns are not
+read; link() names its own.
 """
 
 from __future__ import annotations
@@ -33,65 +38,115 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, settle, table
+from .common import components, drop, free, settle, table
 
 N = 5
 PERCENT = 80
 LANE_ITEMS = 64
-SLOT_BITS = 18
+STEPS = 4
 BITS = 512
-SLOTS = 2**SLOT_BITS
+FREQUENT = 200_000
+PART_ROWS = 200_000
+MOST_COUNTED = 3_000_000
+SMALL_SIDE = 300_000
+BLOCK = 1_000_000
+BASE = 0x9E3779B97F4A7C15
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+POWERS = (np.ones(1, "uint64"), np.ones(1, "uint64"))
+
+
+def byte_values() -> np.ndarray:
+    """A random 64-bit number for each byte, the same for both cases of an ASCII letter."""
+    x = np.random.default_rng(5).integers(0, 2**64, 256, dtype="uint64")
+    x[ord("A") : ord("Z") + 1] = x[ord("a") : ord("z") + 1]
+    return x
+
+
+BYTES = byte_values()
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE modulo 2^64, and of its inverse."""
+    global POWERS
+    if len(POWERS[0]) < n:
+        made = []
+        for base in (BASE, pow(BASE, -1, 2**64)):
+            x = np.ones(1, "uint64")
+            while len(x) < n:
+                x = np.concatenate([x, x * np.uint64(pow(base, len(x), 2**64))])
+            made.append(x)
+        POWERS = tuple(made)
+    return POWERS
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes, ASCII letters in lower case, mixed
+    with its length. Long texts go block by block, each ending at a space."""
+    raw, out, at = np.frombuffer(text.encode(), "uint8"), [], 0
+    while at < len(raw):
+        end = min(at + BLOCK, len(raw))
+        while end < len(raw) and not SPACE[raw[end]]:
+            more = np.flatnonzero(SPACE[raw[end : end + BLOCK]])
+            end = end + int(more[0]) if len(more) else min(end + BLOCK, len(raw))
+        part = raw[at:end]
+        up, down = powers(len(part) + 1)
+        edge = np.diff(np.concatenate(([True], SPACE[part], [True])).view("int8"))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.concatenate((np.zeros(1, "uint64"), np.cumsum(BYTES[part] * up[: len(part)])))
+        h = (sums[last] - sums[first]) * down[first] + (last - first).astype("uint64")
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ (h >> np.uint64(29)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, "uint64")
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-word shingles. Bytes split at and lower-case
-    ASCII only, as the words are defined."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, "uint64")
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words))
+    """The sorted distinct hashes of a text's n-word shingles."""
+    h = word_hashes(text or "")
+    if not len(h):
+        return h
     wide = min(n, len(h))
     m = len(h) - wide + 1
     x = h[:m]
     for k in range(1, wide):
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + m]
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(x ^ (x >> np.uint64(32)))
+    x = np.sort(x ^ (x >> np.uint64(32)))
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
-def band_of(size: int, percent: int = PERCENT) -> int:
-    return int(math.log(size) / math.log(100 / percent))
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """BITS parities of a set, as int64."""
+    odd = np.bincount((grams % np.uint64(BITS)).astype("int64"), minlength=BITS) & 1
+    return np.packbits(odd.astype("uint8")).view("int64")
 
 
-def largest_difference(band: int, percent: int = PERCENT) -> int:
-    """The most items by which two linked sets can differ, the smaller being of this band."""
-    small = math.floor((100 / percent) ** (band + 1)) + 1
-    return (small + small * 100 // percent) * (100 - percent) // (100 + percent) + 1
+def band_of(size: int, percent: int = PERCENT) -> int:
+    """Band 0 holds the sets of single items, under LANE_ITEMS; each other one spans STEPS thresholds."""
+    return 0 if size < LANE_ITEMS else 1 + int(math.log(size / LANE_ITEMS) / (STEPS * math.log(100 / percent)) + 1e-9)
 
 
-def first_lanes(percent: int = PERCENT) -> int:
-    """The first band whose sets are split into lanes."""
-    return math.ceil(math.log(LANE_ITEMS) / math.log(100 / percent))
+def band_top(band: int, percent: int = PERCENT) -> int:
+    """A size that no set of the band passes."""
+    return LANE_ITEMS - 1 if not band else math.ceil(LANE_ITEMS * (100 / percent) ** (STEPS * band))
 
 
 def lanes(grams: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     """The keys of a set's non-empty lanes in a band."""
-    items = grams
-    d = largest_difference(band, percent)
     # a mixed copy of the hash both names the lane and is the bit pattern to flip
-    x = items * np.uint64(0x9E3779B97F4A7C15)
+    x = grams * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
-    if band < first_lanes(percent):
-        return x.view("int64")  # one key for all such bands
-    many = 2 * (d + 1)
-    lane = (items % np.uint64(many)).astype("int64")
+    if not band:
+        return x.view("int64")
+    top = band_top(band, percent)
+    many = 2 * (difference(top, top * 100 // percent, percent) + 1)
+    lane = (grams % np.uint64(many)).astype("int64")
     sums = np.zeros(many, dtype="uint64")
     np.bitwise_xor.at(sums, lane, x)
     filled = np.flatnonzero(sums)
@@ -99,66 +154,143 @@ def lanes(grams: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     return (keys ^ np.uint64(band * 0x2545F4914F6CDD1D & (2**64 - 1))).view("int64")
 
 
-def first_keys(size: int, band: int, percent: int = PERCENT) -> int:
-    """How many of a set's keys of a band, its own or the one below, must be joined."""
-    if band < first_lanes(percent):  # single items: those that a partner can lack
-        return size * (100 - percent) // 100 + 1
-    top = size * 100 // percent if band == band_of(size, percent) else math.floor((100 / percent) ** (band + 1)) + 1
-    return (size + top) * (100 - percent) // (100 + percent) + 1
+def difference(a: int, b: int, percent: int = PERCENT) -> int:
+    """The most items by which linked sets of a and b items can differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
 
 
 def set_keys(grams: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, int]]:
     """The keys of a set in each of its bands, and how many of them to join."""
-    if not len(grams):
+    n = len(grams)
+    if not n:
         return
-    own = band_of(len(grams), percent)
-    # all bands of single items are one
-    for band in (own, own - 1) if own >= first_lanes(percent) else (own,):
-        yield lanes(grams, band, percent), first_keys(len(grams), band, percent)
+    own = band_of(n, percent)
+    for band in range(band_of(-(-n * percent // 100), percent), own + 1):
+        if not band:  # single items: those that a partner can lack
+            need = n * (100 - percent) // 100 + 1
+        else:
+            need = difference(n, n * 100 // percent if band == own else min(n, band_top(band, percent)), percent) + 1
+        yield lanes(grams, band, percent), need
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.view("uint64") >> np.uint64(64 - SLOT_BITS)).astype("int64")
+def digest(grams: np.ndarray) -> int | None:
+    """A set's name."""
+    return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
 
 
 def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    """doc_id, sig, n_shingles per row of docs, with a digest of the set (null without words); and
-    per task the counters slot, times of its lanes, in rows without doc_id."""
+    """doc_id, th, sid, n_shingles, sketch per row of docs; and in rows with a key, how often a task met it: a
+    task counts each set once, and leaves out the keys it met once."""
+    names = ["doc_id", "th", "sid", "n_shingles", "sketch", "key", "times"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        times = np.zeros(SLOTS, "int64")
-        names = ["doc_id", "sig", "n_shingles", "slot", "times"]
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        have, often = np.zeros(0, "int64"), np.zeros(0, "int64")
         for p in parts:
-            rows = []
-            for doc, t in zip(p["doc_id"], p["text"]):
+            sids, sizes, found, odd = [], [], [have], [np.zeros(0, "int64")]
+            for t in p.column(2).to_pylist():
                 g = shingles(t, n)
-                rows.append((doc, blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None, len(g), -1, 0))
-                for keys, _ in set_keys(g, percent):
-                    np.add.at(times, slots(keys), 1)
-            yield pd.DataFrame(rows, columns=names)
-        held = np.flatnonzero(times)
-        yield pd.DataFrame({"doc_id": -1, "sig": None, "n_shingles": 0, "slot": held, "times": times[held]})
-
-    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(run, "doc_id long, sig binary, n_shingles long, slot int, times long")
-
-
-def lane_rows(classes: DataFrame, times: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """classes (rep, text) to the (rep, key) that must be joined."""
-    shared = classes.sparkSession.sparkContext.broadcast(times)  # SLOTS numbers at any size of input
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                sids.append(digest(g))
+                sizes.append(len(g))
+                odd.append(sketch(g))
+                if len(g) and sids[-1] not in seen:
+                    seen.add(sids[-1])
+                    found += [keys for keys, _ in set_keys(g, percent)]
+            rows = len(sids)
+            bits = pa.ListArray.from_arrays(np.arange(rows + 1, dtype="int32") * (BITS // 64), np.concatenate(odd))
+            yield pa.RecordBatch.from_arrays(
+                [p.column(0), p.column(1), pa.array(sids, "int64"), pa.array(sizes, "int64"), bits, pa.nulls(rows, "int64"), pa.nulls(rows, "int64")], names)
+            new = np.sort(np.concatenate(found[1:])) if len(found) > 1 else have[:0]
+            first = np.flatnonzero(np.append(True, new[1:] != new[:-1])) if len(new) else np.zeros(0, "int64")
+            every, many = np.concatenate([have, new[first]]), np.concatenate([often, np.diff(np.append(first, len(new)))])
+            order = np.argsort(every, kind="stable")
+            every, many = every[order], many[order]
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else first
+            have, often = every[first], np.add.reduceat(many, first) if len(first) else many
+            if len(have) > MOST_COUNTED:  # lossy counting: what was met once so far goes
+                have, often = have[often > 1], often[often > 1]
+        have, often = have[often > 1], often[often > 1]
+        rows = len(have)
+        yield pa.RecordBatch.from_arrays([pa.nulls(rows, "int64")] * 4 + [pa.nulls(rows, pa.list_(pa.int64())), pa.array(have), pa.array(often)], names)
+
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(
+        run, "doc_id long, th long, sid long, n_shingles long, sketch array<long>, key long, times long")
+
+
+def frequent(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` most frequent keys at most (in the order of keys), and how often they were met."""
+    total = counted.groupBy("key").agg(F.sum("times").alias("times"))
+    of = total.groupBy("times").count().orderBy(F.desc("times")).collect()  # as many rows as there are different counts
+    held, least = 0, math.inf
+    for r in of:
+        if (held := held + r["count"]) > most:
+            break
+        least = r["times"]
+    got = [] if least == math.inf else total.where(F.col("times") >= least).collect()
+    pairs = np.array([(r["key"], r["times"]) for r in got], "int64").reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def shared_lanes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], n: int = N, percent: int = PERCENT) -> DataFrame:
+    """docs (text) to the (key, sid) that must be joined and that several sets have."""
+    order = docs.sparkSession.sparkContext.broadcast(known)  # FREQUENT numbers at any size of input
+
+    def times(keys: np.ndarray) -> np.ndarray:
+        have, often = order.value
+        if not len(have):
+            return np.zeros(len(keys), "int64")
+        at = np.searchsorted(have, keys).clip(max=len(have) - 1)
+        return np.where(have[at] == keys, often[at], 0)
+
+    def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for p in parts:
-            reps, found = [], [np.zeros(0, "int64")]
-            for rep, t in zip(p["rep"], p["text"]):
-                for keys, need in set_keys(shingles(t, n), percent):
+            sids, found, parted = [], [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+            for t in p.column(0).to_pylist():
+                g = shingles(t, n)
+                sid = digest(g)
+                if sid is None or sid in seen:
+                    continue
+                seen.add(sid)
+                for keys, need in set_keys(g, percent):
+                    often = times(keys)
                     if need < len(keys):
-                        keys = keys[np.lexsort((keys, shared.value[slots(keys)]))[:need]]
-                    reps.append((rep, len(keys)))
+                        first = np.lexsort((keys, often))[:need]
+                        keys, often = keys[first], often[first]
+                    sids.append((sid, len(keys)))
                     found.append(keys)
-            rep, many = zip(*reps) if reps else ((), ())
-            yield pd.DataFrame({"rep": np.repeat(np.array(rep, "int64"), many), "key": np.concatenate(found)})
+                    # a lane met very often goes to several tasks, in parts named from 1
+                    parts_of = -(-often // PART_ROWS)
+                    parted.append(np.where(often > PART_ROWS, 1 + sid % parts_of.clip(min=1), 0))
+            sid, many = zip(*sids) if sids else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found)), pa.array(np.concatenate(parted).astype("int32")), pa.array(np.repeat(np.array(sid, "int64"), many))], ["key", "part", "sid"])
+
+    def several(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of key and sid: those whose key has another sid, or is in parts."""
+        key, sid, part = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int32")
+        met = False  # whether the row kept back has a neighbour already
 
-    return classes.mapInPandas(run, "rep long, key long")
+        def out(keep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sid[keep])], ["key", "sid"])
+
+        for p in parts:
+            key, part, sid = (np.concatenate([a, p.column(k).to_numpy(zero_copy_only=False)]) for k, a in enumerate((key[-1:], part[-1:], sid[-1:])))
+            other = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])) if len(key) else np.zeros(0, bool)
+            key, part, sid = key[other], part[other], sid[other]
+            if not len(key):
+                continue
+            pair = key[1:] == key[:-1]
+            keep = np.append(met, pair) | np.append(pair, False) | (part > 0)
+            met = bool(keep[-1])
+            keep[-1] = False
+            yield out(keep)
+        if len(key) and met:
+            yield out(np.arange(len(key)) == len(key) - 1)
+
+    rows = docs.mapInArrow(emit, "key long, part int, sid long")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "sid").mapInArrow(several, "key long, sid long")
 
 
 def far(x: str, y: str, percent: int):
@@ -168,14 +300,33 @@ def far(x: str, y: str, percent: int):
     return (bits * (100 + percent) > (a + b) * (100 - percent)) | (F.least(a, b) * 100 < F.greatest(a, b) * percent)
 
 
+def near(pairs: DataFrame, brief: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b) of pairs that the sketches (rep, size, sketch) do not rule out."""
+    side = lambda c: brief.select(F.col("rep").alias(c), F.struct("size", "sketch").alias(f"s{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(~far("sa", "sb", percent)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of pairs whose sets (rep, size, sketch, grams) reach the threshold."""
-    brief = lambda c: sets.select(F.col("rep").alias(c), F.struct("size", "sketch").alias(f"s{c}"))
-    near = pairs.join(brief("a"), "a").join(brief("b"), "b").where(~far("sa", "sb", percent)).select("a", "b")
+    """The (a, b) of pairs whose sets (rep, grams) reach the threshold."""
     whole = lambda c: sets.select(F.col("rep").alias(c), F.col("grams").alias(f"g{c}"))
-
     a, b, both = F.size("ga"), F.size("gb"), F.size(F.array_intersect("ga", "gb"))
-    return near.join(whole("a"), "a").join(whole("b"), "b").where(both * 100 >= (a + b - both) * percent).select("a", "b")
+    return pairs.join(whole("a"), "a").join(whole("b"), "b").where(both * 100 >= (a + b - both) * percent).select("a", "b")
+
+
+def whole_sets(docs: DataFrame, at: DataFrame, n: int, text: str) -> DataFrame:
+    """rep, grams of the rows named by at (rep, doc_id, th). Few names are broadcast, so that no text is
+    shuffled; more go to the texts by a hash join."""
+    few = at.count() <= SMALL_SIDE
+
+    @F.pandas_udf("array<long>")
+    def grams(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in parts:
+            yield pd.Series([shingles(t, n).view("int64") for t in p], dtype=object)
+
+    own = docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).alias("text")).alias("own")
+    same = F.col("own.th").eqNullSafe(F.col("m.th")) & F.col("own.doc_id").eqNullSafe(F.col("m.doc_id"))
+    found = own.join(F.broadcast(at.alias("m")) if few else at.alias("m").hint("shuffle_hash"), same).select("rep", "text")
+    return found.select("rep", grams.asNondeterministic()("text").alias("grams")).dropDuplicates(["rep"])
 
 
 def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -188,50 +339,41 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for every row of docs."""
+    """doc_id, th (a hash of the text), n_shingles, class_id, component_id, sid for every row of docs."""
     made = settle(signed(docs, n, percent, text))
-    sets = made.where("slot < 0").select("doc_id", "sig", "n_shingles")
-    counters = made.where("slot >= 0").groupBy("slot").agg(F.sum("times").alias("times")).collect()  # at most SLOTS rows
-    times = np.zeros(SLOTS, "int64")
-    for r in counters:
-        times[r["slot"]] = r["times"]
-    reps = settle(sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
-    first = lambda some: texts.join(some.hint("shuffle_hash"), "rep", "left_semi")
-    rows = settle(lane_rows(first(reps.select("rep")), times, n, percent))
+    sets = made.where("key is null").select("doc_id", "th", "sid", "n_shingles", "sketch")
+    known = frequent(made.where("key is not null").select("key", "times"))
+    classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    rows = settle(shared_lanes(docs.select(F.col(text).alias("text")), known, n, percent))
     often = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    shared = settle(rows.join(often, "key"))
+    shared = settle(rows.join(often, "key").withColumnRenamed("sid", "rep"))
+    drop(rows)
     weight = shared.groupBy("rep").agg(F.sum("often").alias("weight"))
-    rank = F.struct("weight", (-F.col("rep")).alias("order"))
-    hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(rank).alias("m")).select("key", F.col("m.weight").alias("weight"), (-F.col("m.order")).alias("hub"))
+    rank = F.struct("weight", "rep")
+    hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(rank).alias("m")).select("key", F.col("m.weight").alias("weight"), F.col("m.rep").alias("hub"))
     together = settle(shared.select("key", "rep").join(hubs, "key"))
+    drop(shared)
 
-    @F.pandas_udf("size int, sketch array<long>, grams array<long>")
-    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for t in p:
-                g = shingles(t, n)
-                odd = np.bincount((g % np.uint64(BITS)).astype("int64"), minlength=BITS) & 1
-                rows.append((len(g), np.packbits(odd.astype("uint8")).view("int64"), g.view("int64")))
-            yield pd.DataFrame(rows, columns=["size", "sketch", "grams"])
-
-    members = first(together.select("rep").distinct()).dropDuplicates(["rep"])
-    full = settle(members.select("rep", hashed.asNondeterministic()("text").alias("got")).select("rep", "got.*"))
+    brief = settle(classes.join(together.select(F.col("rep").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("rep"), "size", "sketch", "at.doc_id", "at.th"))
     star = settle(
         together.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("weight").alias("weight"))
     )
-    tried = star.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    named = lambda reps: settle(brief.select("rep", "doc_id", "th").join(reps, "rep", "left_semi"))
+    able = settle(near(star.select("a", "b"), brief, percent).join(star, ["a", "b"]))
+    full = settle(whole_sets(docs, named(ends(able)), n, text))
+    tried = able.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
     links = settle(verified(tried, full, percent))
     comp = settle(components(links))
-    others = settle(across(star.select("a", "b").join(tried, ["a", "b"], "left_anti"), comp))
+    others = settle(across(able.select("a", "b").join(tried, ["a", "b"], "left_anti"), comp))
     more = settle(verified(others, full, percent))
+    drop(others)
     if more.limit(1).count():
         links = links.unionByName(more)
         comp = settle(components(links))
     member = together.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     open_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.mode("c").alias("main")).where("lo <> hi").select("key", "main")
-    member = settle(member.join(open_keys, "key").join(full.select("rep", "size", "sketch"), "rep"))
+    member = settle(member.join(open_keys, "key").join(brief.select("rep", "size", "sketch"), "rep"))
     x, y = member.where("c <> main").alias("x"), member.alias("y")
     differ = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
     rest = (
@@ -239,14 +381,19 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
+    rest = settle(rest)
+    if rest.limit(1).count():
+        full = full.unionByName(settle(whole_sets(docs, named(ends(rest).join(full.select("rep"), "rep", "left_anti")), n, text)))
     late = settle(verified(rest, full, percent))
     if late.limit(1).count():
         comp = settle(components(links.unionByName(late)))
-    known = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    return sets.join(known, "sig", "left").select(
-        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
-    )
+    drop(together, member, star, able, rest)
+    # a component of classes is named by the smallest doc_id of its rows
+    named = classes.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "class_id", F.coalesce("component", "sid").alias("c"))
+    least = named.groupBy("c").agg(F.min("class_id").alias("component_id"))
+    known_sets = named.join(least, "c").select("sid", "class_id", "component_id")
+    return sets.join(known_sets, "sid", "left").select(
+        "doc_id", "th", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +401,17 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id."""
-    keep = link(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component stays: of the one with the smallest id, and of its texts one.
+    Documents without words all stay. Rows that repeat both id and text are one document."""
+    linked = link(docs)
+    group = F.when(F.col("component_id").isNotNull(), F.col("component_id"))
+    first = linked.where("sid is not null").groupBy(group.alias("g"), F.when(group.isNull(), F.col("sid")).alias("s")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("at")).select("at.doc_id", "at.th")
+    keep = settle(first.unionByName(linked.where("sid is null").select("doc_id", "th").distinct()))
+    th = free(docs, "th")
+    own = docs.withColumn(th, F.xxhash64("text")).alias("own")
+    same = F.col(f"own.{th}").eqNullSafe(F.col("k.th")) & F.col("own.doc_id").eqNullSafe(F.col("k.doc_id"))
+    kept = own.join(keep.alias("k"), same, "left_semi")
+    if linked.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", th])
+    return kept.select(*docs.columns)
