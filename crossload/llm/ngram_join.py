@@ -14,8 +14,8 @@ joins there as well, with the lanes of that band.
 
 Lanes are dealt by key once and sorted; a scan keeps those of several sets, so that only they are
 written. A lane met very often is dealt in several parts. A lane's hub is its member that shares
-lanes with the most others, the middle of a group of near copies. Candidates whose BITS-bit parity
-sketches differ in more than d bits are dropped; others are verified on whole sets, in three steps:
+lanes with the most others, the middle of a group of near copies. Candidates whose parity
+sketches (folded to BITS bits, then whole) differ in more than d bits are dropped; others are verified on whole sets, in three steps:
 every class with the foremost hub of its lanes; then with its other hubs, where the components still
 differ; then the members of a lane outside of its largest component with the others. A group of
 thousands of near copies costs one star.
@@ -51,7 +51,7 @@ STEPS = 4
 BITS = 512
 FREQUENT = 200_000
 PART_ROWS = 200_000
-MOST_COUNTED = 3_000_000
+MOST_COUNTED = 1_000_000
 SMALL_SIDE = 300_000
 BLOCK = 1_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -120,11 +120,17 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """BITS parities of a set, as int64."""
-    odd = np.bincount((grams % np.uint64(BITS)).astype("int64"), minlength=BITS) & 1
+    """The parities of a set, as int64: a power of two of bits, BITS at least and four times the set."""
+    many = max(BITS, 1 << (4 * len(grams) - 1).bit_length()) if len(grams) else BITS
+    odd = np.bincount((grams % np.uint64(many)).astype("int64"), minlength=many) & 1
     return np.packbits(odd.astype("uint8")).view("int64")
 
 
+def mini(wide: np.ndarray) -> np.ndarray:
+    """A sketch folded to BITS bits."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, BITS // 64), axis=0)
+
+
 def band_of(size: int, percent: int = PERCENT) -> int:
     """Band 0 holds the sets of single items, under LANE_ITEMS; each other one spans STEPS thresholds."""
     return 0 if size < LANE_ITEMS else 1 + int(math.log(size / LANE_ITEMS) / (STEPS * math.log(100 / percent)) + 1e-9)
@@ -179,9 +185,9 @@ def digest(grams: np.ndarray) -> int | None:
 
 
 def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    """doc_id, th, sid, n_shingles, sketch per row of docs; and in rows with a key, how often a task met it: a
+    """doc_id, th, sid, n_shingles, mini, sketch per row of docs; and in rows with a key, how often a task met it: a
     task counts each set once, and leaves out the keys it met once."""
-    names = ["doc_id", "th", "sid", "n_shingles", "sketch", "key", "times"]
+    names = ["doc_id", "th", "sid", "n_shingles", "mini", "sketch", "key", "times"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -197,9 +203,10 @@ def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
                     seen.add(sids[-1])
                     found += [keys for keys, _ in set_keys(g, percent)]
             rows = len(sids)
-            bits = pa.ListArray.from_arrays(np.arange(rows + 1, dtype="int32") * (BITS // 64), np.concatenate(odd))
+            bits = pa.ListArray.from_arrays(np.cumsum([len(x) for x in odd]).astype("int32"), np.concatenate(odd))
+            small = pa.ListArray.from_arrays(np.arange(rows + 1, dtype="int32") * (BITS // 64), np.concatenate([odd[0], *map(mini, odd[1:])]))
             yield pa.RecordBatch.from_arrays(
-                [p.column(0), p.column(1), pa.array(sids, "int64"), pa.array(sizes, "int64"), bits, pa.nulls(rows, "int64"), pa.nulls(rows, "int64")], names)
+                [p.column(0), p.column(1), pa.array(sids, "int64"), pa.array(sizes, "int64"), small, bits, pa.nulls(rows, "int64"), pa.nulls(rows, "int64")], names)
             new = np.sort(np.concatenate(found[1:])) if len(found) > 1 else have[:0]
             first = np.flatnonzero(np.append(True, new[1:] != new[:-1])) if len(new) else np.zeros(0, "int64")
             every, many = np.concatenate([have, new[first]]), np.concatenate([often, np.diff(np.append(first, len(new)))])
@@ -211,10 +218,10 @@ def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
                 have, often = have[often > 1], often[often > 1]
         have, often = have[often > 1], often[often > 1]
         rows = len(have)
-        yield pa.RecordBatch.from_arrays([pa.nulls(rows, "int64")] * 4 + [pa.nulls(rows, pa.list_(pa.int64())), pa.array(have), pa.array(often)], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(rows, "int64")] * 4 + [pa.nulls(rows, pa.list_(pa.int64()))] * 2 + [pa.array(have), pa.array(often)], names)
 
     return docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, th long, sid long, n_shingles long, sketch array<long>, key long, times long")
+        run, "doc_id long, th long, sid long, n_shingles long, mini array<long>, sketch array<long>, key long, times long")
 
 
 def frequent(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -293,17 +300,34 @@ def shared_lanes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], n: int =
     return rows.repartition("key", "part").sortWithinPartitions("key", "sid").mapInArrow(several, "key long, sid long")
 
 
-def far(x: str, y: str, percent: int):
-    """Whether the sketches of two sets rule out that they link."""
-    bits = sum(F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(BITS // 64))
+def unlike(bits, x: str, y: str, percent: int):
+    """Whether so many different bits, or their sizes, rule out that two sets link."""
     a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
-    return (bits * (100 + percent) > (a + b) * (100 - percent)) | (F.least(a, b) * 100 < F.greatest(a, b) * percent)
+    return (F.least(a, b) * 100 < F.greatest(a, b) * percent) | (bits * (100 + percent) > (a + b) * (100 - percent))
+
+
+def far(x: str, y: str, percent: int):
+    """unlike() by the folded sketches."""
+    return unlike(sum(F.bit_count(F.col(f"{x}.mini")[k].bitwiseXOR(F.col(f"{y}.mini")[k])) for k in range(BITS // 64)), x, y, percent)
+
+
+def farther(x: str, y: str, percent: int):
+    """unlike() by the sketches, the longer one folded to the other's length; sets that may link differ by one fold."""
+    m = F.least(F.size(f"{x}.sketch"), F.size(f"{y}.sketch"))
+    xor = lambda p, q: p.bitwiseXOR(q)
+
+    def fold(c: str):
+        return F.when(F.size(c) == m, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, m), F.slice(c, m + 1, m), xor))
+
+    bits = F.aggregate(F.zip_with(fold(f"{x}.sketch"), fold(f"{y}.sketch"), lambda p, q: F.bit_count(xor(p, q))), F.lit(0), lambda t, n: t + n)
+    return unlike(bits, x, y, percent)
 
 
 def near(pairs: DataFrame, brief: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of pairs that the sketches (rep, size, sketch) do not rule out."""
-    side = lambda c: brief.select(F.col("rep").alias(c), F.struct("size", "sketch").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(~far("sa", "sb", percent)).select("a", "b")
+    """The (a, b) of pairs that the sketches (rep, size, mini, sketch) do not rule out."""
+    side = lambda c, name: brief.select(F.col("rep").alias(c), F.struct("size", name).alias(f"s{c}"))
+    some = pairs.join(side("a", "mini"), "a").join(side("b", "mini"), "b").where(~far("sa", "sb", percent)).select("a", "b")
+    return some.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").where(~farther("sa", "sb", percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -341,9 +365,9 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles, class_id, component_id, sid for every row of docs."""
     made = settle(signed(docs, n, percent, text))
-    sets = made.where("key is null").select("doc_id", "th", "sid", "n_shingles", "sketch")
+    sets = made.where("key is null").select("doc_id", "th", "sid", "n_shingles", "mini", "sketch")
     known = frequent(made.where("key is not null").select("key", "times"))
-    classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("size"), F.first("mini").alias("mini"), F.first("sketch").alias("sketch"))
     rows = settle(shared_lanes(docs.select(F.col(text).alias("text")), known, n, percent))
     often = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     shared = settle(rows.join(often, "key").withColumnRenamed("sid", "rep"))
@@ -354,7 +378,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
     together = settle(shared.select("key", "rep").join(hubs, "key"))
     drop(shared)
 
-    brief = settle(classes.join(together.select(F.col("rep").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("rep"), "size", "sketch", "at.doc_id", "at.th"))
+    brief = settle(classes.join(together.select(F.col("rep").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("rep"), "size", "mini", "sketch", "at.doc_id", "at.th"))
     star = settle(
         together.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("weight").alias("weight"))
     )
@@ -373,7 +397,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
         comp = settle(components(links))
     member = together.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     open_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.mode("c").alias("main")).where("lo <> hi").select("key", "main")
-    member = settle(member.join(open_keys, "key").join(brief.select("rep", "size", "sketch"), "rep"))
+    member = settle(member.join(open_keys, "key").join(brief.select("rep", "size", "mini"), "rep"))
     x, y = member.where("c <> main").alias("x"), member.alias("y")
     differ = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
     rest = (
@@ -381,13 +405,13 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    rest = settle(rest)
+    rest = settle(near(rest, brief, percent))
     if rest.limit(1).count():
         full = full.unionByName(settle(whole_sets(docs, named(ends(rest).join(full.select("rep"), "rep", "left_anti")), n, text)))
     late = settle(verified(rest, full, percent))
     if late.limit(1).count():
         comp = settle(components(links.unionByName(late)))
-    drop(together, member, star, able, rest)
+    drop(together, member, star, able, rest, brief)
     # a component of classes is named by the smallest doc_id of its rows
     named = classes.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "class_id", F.coalesce("component", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("class_id").alias("component_id"))
