@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from .common import settle, table
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 256
-TEXTS_AT_ONCE = 64
-KNOWN_CHUNKS = 300_000
+TEXTS_AT_ONCE = 256
+KNOWN_CHUNKS = 400_000
 
 
 def tokenizer_path() -> str:
@@ -40,48 +41,83 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str | None = None):
-    """A function from text to token ids. The tokenizer drops white space and no token crosses it,
-    so a text's ids are those of its chunks between spaces and line feeds; chunks seen before are
-    remembered, up to KNOWN_CHUNKS."""
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself where it prints, else the next after 255."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [k for k in range(256) if k not in prints]
+    return {k: chr(k) for k in prints} | {k: chr(256 + n) for n, k in enumerate(rest)}
+
+
+# Fixed pattern: how the tokenizer cuts a text, for the Latin characters that PLAIN admits
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9¹²³¼½¾]|[^\sa-zªµºß-öø-ɏ0-9¹²³¼½¾]+")
+PLAIN = re.compile(r"[!-~¡-įı-ɏ]+")
+
+
+def raw_encoder(path: str | None = None):
+    """A function from text to its token ids as little-endian 32-bit numbers. The tokenizer drops white
+    space and no token crosses it, so a text's ids are those of its chunks between spaces and line
+    feeds. Chunks seen before are remembered, and so are the pieces that the tokenizer's own pattern
+    makes of them: a new piece goes to the vocabulary's merges alone. Both memories are cleared at
+    KNOWN_CHUNKS entries."""
     from tokenizers import Tokenizer
 
-    made, known = Tokenizer.from_file(path or tokenizer_path()), {}
-
-    def encode(text: str) -> list[int]:
-        ids: list[int] = []
-        for chunk in re.split("[ \n]+", text):
-            got = known.get(chunk)
-            if got is None:
-                if len(known) >= KNOWN_CHUNKS:
-                    known.clear()
-                got = made.encode(chunk, add_special_tokens=False).ids
-                if len(chunk) < 100:
-                    known[chunk] = got
-            ids += got
-        return ids
+    made = Tokenizer.from_file(path or tokenizer_path())
+    model, letters, known, pieces = made.model, byte_letters(), {}, {}
+
+    def piece(text: str) -> bytes:
+        got = pieces.get(text)
+        if got is None:
+            if len(pieces) >= KNOWN_CHUNKS:
+                pieces.clear()
+            inner = text if text.isascii() else text.encode().decode("latin-1").translate(letters)
+            got = pieces[text] = np.array([k.id for k in model.tokenize(inner)], "<u4").tobytes()
+        return got
+
+    def chunk(text: str) -> bytes:
+        if len(text) < 100 and PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(piece, PIECES.findall(text.lower())))
+        return np.array(made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(text: str) -> bytes:
+        chunks = text.replace("\n", " ").split(" ")
+        try:
+            return b"".join(map(known.__getitem__, chunks))
+        except KeyError:
+            if len(known) >= KNOWN_CHUNKS:
+                known.clear()
+            own = {c: chunk(c) for c in chunks if c not in known}
+            known.update((c, x) for c, x in own.items() if len(c) < 100)
+            return b"".join([own[c] if c in own else known[c] for c in chunks])
 
     return encode
 
 
+def encoder(path: str | None = None):
+    """A function from text to the list of its token ids."""
+    raw = raw_encoder(path)
+    return lambda text: np.frombuffer(raw(text), "<u4").tolist()
+
+
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text) to pieces: doc_id, piece, start, length, ids (little-endian 32-bit)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
-        for p in parts:
-            for k in range(0, len(p), TEXTS_AT_ONCE):
-                some = p.iloc[k : k + TEXTS_AT_ONCE]
+        encode, end, names = raw_encoder(path), np.array([END_ID], "<u4").tobytes(), ["doc_id", "piece", "start", "length", "ids"]
+        for whole in parts:
+            for p in (whole.slice(k, TEXTS_AT_ONCE) for k in range(0, whole.num_rows, TEXTS_AT_ONCE)):
                 rows = []
-                for doc, text in zip(some["doc_id"], some["text"]):
-                    ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
-                    for n, s in enumerate(range(0, len(ids), capacity)):
-                        piece = ids[s : s + capacity]
-                        rows.append((doc, n, s, len(piece), piece.tobytes()))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-
-    return docs.select("doc_id", "text").mapInPandas(
+                for at, text in enumerate(p.column(1).to_pylist()):
+                    ids = encode(text or "") + end
+                    for n, s in enumerate(range(0, len(ids), 4 * capacity)):
+                        rows.append((at, n, s // 4, ids[s : s + 4 * capacity]))
+                at, n, start, ids = zip(*rows)
+                # ids stay Arrow numbers, so that null and large ones pass as they are
+                yield pa.RecordBatch.from_arrays([
+                    p.column(0).take(pa.array(at)), pa.array(n, "int32"), pa.array(start, "int64"),
+                    pa.array([len(x) // 4 for x in ids], "int64"), pa.array(ids, "binary")], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids binary"
     )
 
