@@ -15,8 +15,10 @@ no rows.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -53,15 +55,17 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9¹²³
 PLAIN = re.compile(r"[!-~¡-įı-ɏ]+")
 
 
+@functools.lru_cache(1)
 def raw_encoder(path: str | None = None):
     """A function from text to its token ids as little-endian 32-bit numbers. The tokenizer drops white
     space and no token crosses it, so a text's ids are those of its chunks between spaces and line
     feeds. Chunks seen before are remembered, and so are the pieces that the tokenizer's own pattern
     makes of them: a new piece goes to the vocabulary's merges alone. Both memories are cleared at
-    KNOWN_CHUNKS entries."""
+    KNOWN_CHUNKS entries; a worker keeps them from task to task."""
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path or tokenizer_path())
+    pack_ids = [struct.Struct(f"<{n}I").pack for n in range(8)]
     model, letters, known, pieces = made.model, byte_letters(), {}, {}
 
     def piece(text: str) -> bytes:
@@ -70,7 +74,8 @@ def raw_encoder(path: str | None = None):
             if len(pieces) >= KNOWN_CHUNKS:
                 pieces.clear()
             inner = text if text.isascii() else text.encode().decode("latin-1").translate(letters)
-            got = pieces[text] = np.array([k.id for k in model.tokenize(inner)], "<u4").tobytes()
+            ids = [k.id for k in model.tokenize(inner)]
+            got = pieces[text] = pack_ids[len(ids)](*ids) if len(ids) < 8 else np.array(ids, "<u4").tobytes()
         return got
 
     def chunk(text: str) -> bytes:
