@@ -8,26 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Street suffix words, placeholder texts, boolean and country spellings.
-SUFFIXES = "street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|court|ct|circle|cir|place|pl|way|highway|hwy"
-EMPTY = ["", "null", "n/a", "na", "none", "-", "--", "undefined"]
+SUFFIXES = "street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|court|ct|circle|cir|place|pl|suite|ste|apartment|apt|unit"
+EMPTY = ["null", "n/a", "na", "none", "-", "--", "undefined"]
 TRUE = ["true", "t", "yes", "y", "1", "on", "active", "enabled"]
 FALSE = ["false", "f", "no", "n", "0", "off", "inactive", "disabled"]
-US = ["us", "usa", "u.s.", "u.s.a.", "united states", "united states of america"]
+US = ["us", "usa", "united states", "united states of america", "u.s.", "u.s.a."]
 CANADA = ["ca", "canada"]
 STATES = {
     "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT",
-    "delaware": "DE", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA",
+    "delaware": "DE", "district of columbia": "DC", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA",
     "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI",
     "minnesota": "MN", "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH",
     "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH",
     "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD",
     "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV",
-    "wisconsin": "WI", "wyoming": "WY", "district of columbia": "DC", "puerto rico": "PR",
+    "wisconsin": "WI", "wyoming": "WY", "puerto rico": "PR",
 }
 
 
 def blank_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def text(c: Column, most: int | None = None) -> Column:
@@ -92,8 +92,21 @@ def state(c: Column) -> Column:
 
 
 def postal(c: Column) -> Column:
-    c = F.regexp_replace(text(c), r"\s", "")
-    return F.when(c.rlike(r"^\d{5}-?\d{4}$"), F.concat_ws("-", F.substring(c, 1, 5), F.right(c, F.lit(4)))).otherwise(F.upper(c))
+    """US codes as ddddd or ddddd-dddd; others keep their spaces, in upper case."""
+    c = text(c)
+    bare = F.regexp_replace(c, r"\s", "")
+    return (
+        F.when(bare.rlike(r"^\d{5}-?\d{4}$"), F.concat_ws("-", F.substring(bare, 1, 5), F.right(bare, F.lit(4))))
+        .when(bare.rlike(r"^\d{5}$"), bare).otherwise(F.upper(c))
+    )
+
+
+def address(line1: Column, line2: Column, city: Column, region: Column, code: Column, land: Column) -> Column:
+    """The parts of an address, or null where none of line, city and code is there."""
+    parts = F.struct(
+        text(line1, 255).alias("line1"), text(line2, 255).alias("line2"), text(city, 120).alias("city"),
+        state(region).alias("state"), postal(code).alias("postal_code"), country(land).alias("country"))
+    return F.when(F.coalesce(text(line1), text(city), text(code)).isNotNull(), parts)
 
 
 def country(c: Column) -> Column:
@@ -107,12 +120,12 @@ def address_key(line: Column, zipcode: Column) -> Column:
 
 
 def cents(c: Column) -> Column:
-    """Money text to whole cents; parentheses or a leading minus are negative."""
+    """Money text to whole cents; parentheses or a leading minus make the rounded amount negative."""
     c = F.trim(c)
+    inner = F.regexp_replace(c, r"^\((.*)\)$", "$1")
     digits = F.regexp_extract(F.regexp_replace(c, r"[^\d.]", ""), r"^\d*\.?\d*", 0)
-    amount = digits.try_cast("double")
-    sign = F.when(c.rlike(r"^\(.*\)$") | c.startswith("-"), -1).otherwise(1)
-    return (F.floor(amount * 100 * sign + 0.5)).cast("long")
+    whole = F.floor(digits.try_cast("double") * 100 + 0.5).cast("long")
+    return F.when(c.rlike(r"^\(.*\)$") | inner.startswith("-"), -whole).otherwise(whole)
 
 
 def boolean(c: Column) -> Column:
@@ -121,7 +134,7 @@ def boolean(c: Column) -> Column:
 
 
 def null_if_empty(c: Column) -> Column:
-    return F.when(~F.lower(F.trim(c)).isin(EMPTY), c)
+    return F.when(~F.lower(F.trim(c)).isin("", *EMPTY), c)
 
 
 def timestamp(c: Column) -> Column:
@@ -143,8 +156,9 @@ def timestamp(c: Column) -> Column:
 def tags(c: Column) -> Column:
     """Packed tags to an array; of spellings that differ in case the first stays."""
     parts = F.filter(F.transform(F.split(c, r"[;,|]"), lambda x: text(x, 100)), lambda x: x.isNotNull())
-    low = F.transform(parts, F.lower)
-    return F.filter(parts, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    # one pass: keep a part if no kept one equals it in lower case
+    return F.reduce(parts, F.array().cast("array<string>"), lambda kept, x: F.when(
+        F.exists(kept, lambda y: F.lower(y) == F.lower(x)), kept).otherwise(F.array_append(kept, x)))
 
 
 def mask(c: Column) -> Column:
@@ -155,3 +169,33 @@ def mask(c: Column) -> Column:
 
 def safe_name(c: Column, most: int = 120) -> Column:
     return F.substring(F.regexp_replace(c, "[^A-Za-z0-9._-]", "_"), 1, most)
+
+
+def segment(c: Column) -> Column:
+    """A path segment: as safe_name, longer, and never empty."""
+    return F.coalesce(blank_null(safe_name(c, 128)), F.lit("unknown"))
+
+
+def body_format(c: Column) -> Column:
+    return F.when(c.rlike(r"(?is)<[a-z].*>"), "html").when(c.isNotNull(), "text")
+
+
+def clean_map(c: Column) -> Column:
+    return F.map_filter(c, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def batch_label(entity: Column, number: Column) -> Column:
+    n = number.cast("string")
+    return F.concat_ws(" ", F.initcap(entity), F.lit("Batch"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")))
+
+
+# Fixed pattern: names of fields that hold secrets
+SECRET = (
+    "(?i)password|passwd|secret|token|api[-_]?key|apikey|authorization|auth|credential|private[-_]?key|client[-_]?secret|refresh[-_]?token"
+    "|access[-_]?token|bearer|signature|cookie|session"
+)
+
+
+def redact(c: Column) -> Column:
+    """A map of text without the values of secret-like names and without credentials."""
+    return F.transform_values(c, lambda k, v: F.when(k.rlike(SECRET) | v.rlike(r"(?i)^(bearer|basic)\s+\S+"), "[REDACTED]").otherwise(v))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Record states, the lists that block a file, and the size limit in bytes.
 ACCOUNTED = ["CREATED", "UPDATED", "MERGED", "SKIPPED", "FAILED", "UNSUPPORTED"]
 IN_FLIGHT = ["DISCOVERED", "QUEUED", "PROCESSING"]
-BLOCKED = ["exe", "bat", "cmd", "com", "msi", "scr", "ps1", "vbs", "js", "jar", "sh", "dll", "app", "hta", "cpl"]
+BLOCKED = [".exe", ".dll", ".scr", ".bat", ".cmd", ".com", ".msi", ".jar", ".sh", ".ps1", ".vbs", ".js", ".app", ".deb", ".rpm"]
+KINDS = ["image/", "video/", "audio/", "text/", "application/"]
 LARGEST = 512 * 1024 * 1024
 
 
@@ -29,14 +30,15 @@ def disposition(state: Column) -> Column:
 
 
 def candidates(incoming: DataFrame, existing: DataFrame, signals: list[list[str]]) -> DataFrame:
-    """Pairs (id, other) equal in all columns of at least one signal: a union of equi-joins."""
-    out = None
-    for keys in signals:
-        left = incoming.select("id", *keys).dropna(subset=keys)
-        right = existing.select(F.col("id").alias("other"), *keys).dropna(subset=keys)
-        pairs = left.join(right, keys).where("id <> other").select("id", "other")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    """Pairs (id, other) equal in all columns of at least one signal: one equi-join over exploded
+    (signal, key) rows. For a table with itself, each pair is joined once and then turned around."""
+    keys = lambda df, id: df.select(
+        F.col("id").alias(id), F.explode(F.array(*[
+            F.struct(F.lit(n).alias("signal"), F.when(F.forall(F.array(*s), lambda c: c.isNotNull()), F.to_json(F.array(*s))).alias("key"))
+            for n, s in enumerate(signals)])).alias("x")).select(id, "x.*").where("key is not null")
+    alone = incoming is existing
+    pairs = keys(incoming, "id").join(keys(existing, "other"), ["signal", "key"]).where("id < other" if alone else "id <> other").select("id", "other").distinct()
+    return pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))) if alone else pairs
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, keep: list[str]) -> DataFrame:
@@ -61,6 +63,18 @@ def integrity(sent: Column, stored: Column) -> Column:
     return F.when(sent == stored, "size_verified").otherwise("failed")
 
 
-def rejection(name: Column, size: Column) -> Column:
-    kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(kind.isin(BLOCKED), "blocked_extension").when(size > LARGEST, "too_large").when(size == 0, "empty")
+def integrity_level(sent_hash: Column, stored_hash: Column, sent_size: Column, stored_size: Column) -> Column:
+    """What a stored copy proves: its hash, else its size, else nothing; any mismatch fails."""
+    return (
+        F.when(stored_hash.isNotNull(), F.when(sent_hash == stored_hash, "hash_verified").otherwise("FAILED"))
+        .when(stored_size.isNotNull(), F.when(sent_size == stored_size, "size_verified").otherwise("FAILED")).otherwise("unverified")
+    )
+
+
+def rejection(name: Column, size: Column, kind: Column | None = None) -> Column:
+    end = F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))
+    found = F.when(end.isin(BLOCKED), "blocked_extension").when(size > LARGEST, "too_large").when(size == 0, "empty")
+    if kind is None:
+        return found
+    allowed = F.exists(F.array(*map(F.lit, KINDS)), lambda p: F.lower(kind).startswith(p))
+    return F.when(end.isin(BLOCKED), "blocked_extension").when(kind.isNotNull() & ~allowed, "blocked_kind").otherwise(found)

@@ -16,7 +16,7 @@ def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = oracle(sql.replace("$", ""))
+            SQL[f.__name__] = oracle(sql)
         return f
 
     return add
@@ -33,10 +33,10 @@ PHONE = (
 ).replace("{d}", r"regexp_replace(regexp_replace(trim(phone), '(?i)\s*(?:ext|x|extension)\.?\s*\d+\s*$', ''), '\D', '', 'g')")
 EMAIL = "lower(trim(email))"
 NAME = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9 ]', '', 'g'))"
-STREET = rf"regexp_replace(regexp_replace(lower(street), '\b({n.SUFFIXES})\b', '', 'g'), '[^a-z0-9]', '', 'g') || '|' || substr(zip, 1, 5)"
+STREET = rf"regexp_replace(regexp_replace(lower(street), '\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|court|ct|circle|cir|place|pl|suite|ste|apartment|apt|unit)\b', '', 'g'), '[^a-z0-9]', '', 'g') || '|' || substr(zip, 1, 5)"
 CENTS = (
-    "CASE WHEN trim(value) = '' THEN NULL ELSE CAST(floor(CAST(regexp_replace(value, '[^0-9.]', '', 'g') AS DOUBLE) * 100 * "
-    "CASE WHEN value LIKE '(%' OR value LIKE '-%' THEN -1 ELSE 1 END + 0.5) AS BIGINT) END"
+    "CASE WHEN trim(value) = '' THEN NULL ELSE CAST(floor(CAST(regexp_replace(value, '[^0-9.]', '', 'g') AS DOUBLE) * 100 + 0.5) AS BIGINT) "
+    "* CASE WHEN value LIKE '(%' OR value LIKE '-%' THEN -1 ELSE 1 END END"
 )
 CREATED = (
     "CASE k % 8 WHEN 0 THEN TIMESTAMP '2023-04-05 06:07:08' WHEN 1 THEN TIMESTAMP '2023-03-15' WHEN 2 THEN TIMESTAMP '2023-03-15' "

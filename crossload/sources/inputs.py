@@ -5,8 +5,9 @@ Each is one SQL text that both engines read the same, so that an oracle starts f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
 
+from pyspark.sql import DataFrame, SparkSession
 
 
 def pick(key: str, values: list[str]) -> str:
@@ -64,15 +65,128 @@ FROM customer WHERE c_custkey % 3 = 0"""),
 }
 
 
+# Tables made of other derived ones: {name} stands for the table.
+TABLES |= {
+    "raw_user": (["supplier"], f"""
+SELECT s_suppkey AS k, concat('U', lpad(CAST(s_suppkey AS STRING), 4, '0')) AS id, {FIRST.replace("b %", "s_suppkey %")} AS first_name,
+  {LAST.replace("b %", "s_suppkey %")} AS last_name,
+  CASE WHEN s_suppkey % 20 <> 0 THEN concat('u', CAST(s_suppkey AS STRING), '@mail.example;', 'U', CAST(s_suppkey AS STRING), '@Mail.example, second', CAST(s_suppkey AS STRING), '@mail.example') END AS emails,
+  concat('555', lpad(CAST(2000000 + s_suppkey % 7000000 AS STRING), 7, '0'), ' / 0000000000 | (555) ', lpad(CAST(3000000 + s_suppkey % 6000000 AS STRING), 7, '0')) AS phones,
+  {pick("s_suppkey", ["Yes", "off", "maybe", "1", "N", "Enabled", ""])} AS active_text, s_suppkey % 5 <> 0 AS active
+FROM {{supplier}}"""),
+    "raw_note": (["conversations"], """
+SELECT conv_id * 1000 + turn AS k, concat('N', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS id,
+  CASE WHEN conv_id % 2 = 0 THEN 'job' ELSE 'contact' END AS parent_type,
+  CASE WHEN conv_id % 25 = 0 THEN 'gone' WHEN conv_id % 2 = 0 THEN concat('J', lpad(CAST(conv_id AS STRING), 6, '0'))
+    ELSE concat('C', lpad(CAST(conv_id AS STRING), 6, '0')) END AS parent_id,
+  CASE WHEN conv_id % 30 = 1 THEN concat('[2021-03-14 · Ana] ', text) WHEN turn % 10 = 3 THEN concat('<p>', text, '</p>') ELSE text END AS body,
+  CASE WHEN turn % 3 <> 0 THEN role END AS author, CASE WHEN conv_id % 12 <> 0 THEN TIMESTAMP '2023-01-10 09:30:00' + INTERVAL '1' DAY * (conv_id % 300) END AS created,
+  concat('t', CAST(conv_id AS STRING)) AS token, CASE WHEN turn % 2 = 0 THEN 'Bearer abc' ELSE 'plain' END AS header
+FROM {conversations}"""),
+    "raw_stage": (["nation"], f"""
+SELECT n_nationkey AS k, concat('S', CAST(n_nationkey AS STRING)) AS id, CAST(n_regionkey AS STRING) AS pipeline_id,
+  {pick("n_nationkey", ["Lead", "Closed Won", "Job Complete", "Lost deal", "WON!", "Quoted", "In review"])} AS name FROM {{nation}}"""),
+    "asset": (["raw_file"], """
+SELECT k, id, name, size, text, md5(text) AS sent_hash,
+  CASE k % 4 WHEN 0 THEN md5(text) WHEN 1 THEN CASE WHEN k % 12 = 1 THEN 'bad' END END AS stored_hash,
+  CASE WHEN k % 4 < 3 THEN CASE WHEN k % 20 = 2 THEN size + 1 ELSE size END END AS stored_size,
+  CASE k % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'Application/pdf' WHEN 2 THEN 'chemical/x-pdb' WHEN 3 THEN 'text/plain' END AS kind,
+  CASE WHEN k % 15 <> 0 THEN concat('https://files.example/', CAST(k AS STRING)) END AS url,
+  CASE WHEN k % 3 = 0 THEN 'job' ELSE 'contact' END AS parent_type,
+  concat(CASE WHEN k % 3 = 0 THEN 'J' ELSE 'C' END, lpad(CAST(k AS STRING), 6, '0')) AS parent_id,
+  CASE k % 6 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PENDING' WHEN 3 THEN 'UNSUPPORTED' ELSE 'UPLOADED' END AS state,
+  k % 7 AS attempt, TIMESTAMP '2024-01-20 00:00:00' + INTERVAL '1' MINUTE * (k % 40000) AS retry_at
+FROM {raw_file}"""),
+    "ledger": (["raw_job", "raw_contact"], """
+SELECT k, concat('M', CAST(k % 9 AS STRING)) AS migration_id, 'job' AS entity, id AS source_id, state, k % 5 AS attempt,
+  CASE WHEN state IN ('CREATED', 'UPDATED', 'MERGED', 'SKIPPED') THEN concat('D-', id) END AS destination_id,
+  CASE WHEN state = 'FAILED' THEN CASE k % 5 WHEN 0 THEN 'RATE_LIMIT' WHEN 1 THEN 'VALIDATION_ERROR' WHEN 2 THEN 'SOURCE_TIMEOUT' WHEN 3 THEN 'MAPPING_ERROR' ELSE 'ODD' END END AS error_code,
+  k % 3 <> 0 AS open, concat(CASE WHEN k % 2 = 0 THEN 'Job' ELSE 'Late' END, '-', CAST(k DIV 200 AS STRING)) AS batch_id, created,
+  CASE WHEN k % 4 <> 0 THEN created + INTERVAL '90' DAY END AS expires, contact_id
+FROM {raw_job}
+UNION ALL SELECT k, concat('M', CAST(k % 9 AS STRING)), 'contact', id,
+  CASE k % 9 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'UPDATED' ELSE 'CREATED' END, k % 5,
+  CASE WHEN k % 9 > 1 THEN concat('D-', id) END, CASE WHEN k % 9 = 1 THEN 'PERMISSION_ERROR' END, k % 3 <> 0,
+  concat('Contact-', CAST(k DIV 200 AS STRING)), TIMESTAMP '2023-02-01 00:00:00', CASE WHEN k % 4 <> 0 THEN TIMESTAMP '2024-05-01 00:00:00' END, CAST(NULL AS STRING)
+FROM {raw_contact} WHERE id <> ''"""),
+    "outcome": (["ledger"], """
+SELECT source_id, entity, CASE WHEN k % 4 = 0 THEN 'FAILED' ELSE 'CREATED' END AS state, CASE WHEN k % 4 <> 0 THEN concat('N-', source_id) END AS destination_id, 0 AS n
+FROM {ledger} WHERE state IN ('DISCOVERED', 'QUEUED', 'PROCESSING')
+UNION ALL SELECT source_id, entity, 'UPDATED', concat('X-', source_id), 1 FROM {ledger} WHERE state = 'QUEUED'"""),
+    "dest_contact": (["raw_contact"], """
+SELECT concat('D', CAST(k AS STRING)) AS id, id AS source_id, CASE WHEN (k DIV 150) % 4 = 3 THEN concat(full_name, 'n') ELSE full_name END AS full_name,
+  CASE WHEN (k DIV 150) % 4 = 0 THEN email ELSE concat('other', CAST(k AS STRING), '@mail.example') END AS email,
+  CASE (k DIV 150) % 4 WHEN 0 THEN phone WHEN 2 THEN concat('+44 20 555 ', lpad(CAST(2000000 + k * 37 % 7000000 AS STRING), 7, '0')) END AS phone,
+  CASE WHEN (k DIV 150) % 4 = 2 THEN concat('9 Elm ', CAST(k AS STRING)) ELSE street END AS street, zip,
+  CASE WHEN k % 2 = 0 THEN 'T1' ELSE 'T2' END AS tenant
+FROM {raw_contact} WHERE k % 3 = 0 AND id <> ''"""),
+    "write_log": (["raw_contact"], """
+SELECT concat('mig_1:export:contact:', id) AS key, id AS source_id, concat('W', CAST(k AS STRING)) AS destination_id, k % 8 = 0 AS current
+FROM {raw_contact} WHERE k % 4 = 0 AND id <> ''"""),
+    "decision": (["raw_contact"], """
+SELECT id AS source_id, CASE k % 3 WHEN 0 THEN 'SKIP' WHEN 1 THEN 'MERGE' ELSE 'CREATE_NEW' END AS decision,
+  CASE WHEN k % 3 = 1 THEN concat('D', CAST(k - 1 AS STRING)) END AS target, CASE WHEN k % 10 < 8 THEN 'REVIEWED' ELSE 'OPEN' END AS status
+FROM {raw_contact} WHERE k % 7 = 0 AND id <> ''"""),
+    "checklist": (["orders"], """
+SELECT o_custkey AS migration_id, o_orderkey AS task_id, o_orderkey % 3 = 0 AS blocks,
+  CASE o_orderkey % 4 WHEN 0 THEN 'TODO' WHEN 1 THEN 'DONE' WHEN 2 THEN 'DONE' ELSE 'NOT_APPLICABLE' END AS status FROM {orders}"""),
+    "migration": (["customer"], """
+SELECT c_custkey AS migration_id, TIMESTAMP '2023-12-01 12:00:00' + INTERVAL '1' HOUR * (c_custkey % 1800) AS started_at, 20 + c_custkey % 40 AS sla_days,
+  CASE c_custkey % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'PAUSED' WHEN 2 THEN 'COMPLETED' WHEN 3 THEN 'QUEUED' ELSE 'FAILED' END AS status,
+  concat('A', CAST(c_nationkey AS STRING)) AS account FROM {customer}"""),
+    "migration_pass": (["orders"], """
+SELECT o_custkey AS migration_id, o_orderkey AS k, o_orderdate AS watermark_at,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, o_orderkey % 100 AS discovered, o_orderkey % 40 AS written FROM {orders}"""),
+    "selection": (["customer", "entity_plan"], """
+SELECT c_custkey AS migration_id, entity FROM {customer} CROSS JOIN (SELECT DISTINCT entity, ord FROM {entity_plan}) e WHERE (c_custkey * 7 + ord * ord) % 5 < 3"""),
+    "discovery": (["ledger"], """
+SELECT migration_id, entity, count(*) + CASE WHEN entity = 'job' AND migration_id = 'M3' THEN 2 ELSE 0 END AS n, migration_id <> 'M5' AS supported FROM {ledger} GROUP BY migration_id, entity"""),
+    "raw_opportunity": (["lineitem"], """
+SELECT l_orderkey * 10 + l_linenumber AS k, concat('O', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,
+  concat('C', lpad(CAST(l_suppkey AS STRING), 6, '0')) AS contact_id, concat('S', CAST(l_partkey % 30 AS STRING)) AS stage_id,
+  concat(concat('U', lpad(CAST(l_suppkey AS STRING), 4, '0')), CASE WHEN l_linenumber % 2 = 0 THEN concat(',U', lpad(CAST(l_linenumber AS STRING), 4, '0')) ELSE ',U99999' END) AS user_ids
+FROM {lineitem}"""),
+}
+# Entities in the order they move, and what each needs (kind: requires, any, enriched).
+ENTITIES = (
+    "account|||;location|account||;user|||account;team|user||;custom_field|||account;tag|||account;pipeline|||account;pipeline_stage|pipeline||;"
+    "status_definition|||account;contact|||user,tag,custom_field;company|||user;lead|contact||;opportunity|contact||pipeline,pipeline_stage,user;"
+    "job|contact||user,status_definition,tag;job_assignment|job,user||;contact_job_relationship|job,contact||;task||contact,job|user;"
+    "appointment||contact,job|user;note||contact,job|user;activity||contact,job|user;document||job,contact|;image||job,contact|;attachment||job,contact,note|"
+)
+
+
+def plan_rows() -> list[str]:
+    out = []
+    for n, line in enumerate(ENTITIES.split(";"), 1):
+        entity, *deps = line.split("|")
+        rows = [(kind, d) for kind, some in zip(("requires", "any", "enriched"), deps) for d in some.split(",") if d]
+        out += [f"('{entity}', {n}, '{kind}', '{d}')" for kind, d in rows] or [f"('{entity}', {n}, NULL, NULL)"]
+    return out
+
+
+TABLES = {"entity_plan": ([], f"SELECT * FROM (VALUES {', '.join(plan_rows())}) AS t(entity, ord, kind, dep)")} | TABLES
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, or a given one."""
     if name not in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     base, sql = TABLES[name]
-    return spark.sql(sql.replace(f"FROM {base[0]}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base[0]}.parquet"))
+    if not base:
+        return spark.sql(sql)
+    if f"{{{base[0]}}}" not in sql:
+        sql = sql.replace(f"FROM {base[0]}", f"FROM {{{base[0]}}}")
+    return spark.sql(sql, **{b: read(spark, sf_dir, b) for b in base})
 
 
 def oracle(sql: str) -> str:
     """SQL over derived tables as SQL over the given ones."""
-    used = [n for n in TABLES if n in sql]
-    return f"WITH {', '.join(f'{n} AS ({TABLES[n][1]})' for n in used)} {sql}" if used else sql
+    need = {n for n in TABLES if n in sql}
+    while more := {b for n in need for b in TABLES[n][0] if b in TABLES} - need:
+        need |= more
+    used = []
+    while len(used) < len(need):  # a table after those that it is made of
+        used += [n for n in TABLES if n in need and n not in used and all(b in used or b not in need for b in TABLES[n][0])]
+    plain = lambda n: re.sub(r"\b(\w+) DIV (\d+)", r"(\1 // \2)", re.sub(r"\{(%s)\}" % "|".join(TABLES[n][0] or ["-"]), r"\1", TABLES[n][1]))
+    return f"WITH {', '.join(f'{n} AS ({plain(n)})' for n in used)} {sql}" if used else sql

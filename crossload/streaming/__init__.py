@@ -1 +1 @@
-
+"""Streams: the event inbox and micro-batch upserts."""

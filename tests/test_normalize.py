@@ -29,3 +29,29 @@ def test_date(spark):
 def test_tags_and_names(spark):
     assert values(spark, n.tags, ["A; b |a,C", "", None]) == [["A", "b", "C"], [], None]
     assert values(spark, n.name_key, ["José O'Brien", "", None]) == ["jose obrien", None, None]
+
+
+def test_money_rounds_before_the_sign(spark):
+    assert values(spark, n.cents, ["(0.125)", "-0.125", "0.125", "(-3)", "1.2.3"]) == [-13, -13, 13, -300, 120]
+
+
+def test_postal(spark):
+    assert values(spark, n.postal, ["K1A 0B1", " 90210 ", "902101234", "90210-1234", "ab 1", "", None]) == ["K1A 0B1", "90210", "90210-1234", "90210-1234", "AB 1", None, None]
+
+
+def test_address_key(spark):
+    got = values(spark, lambda c: n.address_key(c, F.lit("90210-1234")), ["12 Oak Suite 5", "12 OAK ST. Apt #5", "1 Park Way", "Street", None])
+    assert got == ["12oak5|90210", "12oak5|90210", "1parkway|90210", None, None]
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([({"Api-Key": "x", "note": "Bearer abc", "name": "y", "gone": None},)], "m map<string,string>")
+    assert df.select(n.redact(F.col("m"))).first()[0] == {"Api-Key": "[REDACTED]", "note": "[REDACTED]", "name": "y", "gone": None}
+
+
+def test_rejected_files(spark):
+    from crossload.operators import records as r
+
+    df = spark.createDataFrame([("a.deb", 1, None), ("a.RPM", 1, None), ("a.hta", 1, "text/html"), ("a.txt", 1, "chemical/x"), ("a.txt", 0, "Text/plain"), ("a", 2**30, None)], "n string, s long, k string")
+    got = [x[0] for x in df.select(r.rejection(F.col("n"), F.col("s"), F.col("k"))).collect()]
+    assert got == ["blocked_extension", "blocked_extension", None, "blocked_kind", "empty", "too_large"]
