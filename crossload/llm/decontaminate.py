@@ -12,7 +12,9 @@ Benchmark tables are small beside the corpus. Their seeds are broadcast only bel
 BROADCAST_SEEDS; above it the n-grams of the documents are shuffled to them instead.
 
 Null, empty or wordless documents and items match nothing. Repeated rows match alike; of equal
-scores the smallest item_id wins. Empty tables give empty results.
+scores the smallest item_id wins. A row without a doc_id is named by a hash of its text. Very long texts
+are read whole, in one row's memory. Empty tables give empty results. Other columns are not read, and
+the stage keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import free, settle, table
 
 N = 5
 MAX_SHARE = 0.25
@@ -115,7 +117,8 @@ def hits(docs: DataFrame, known: DataFrame, n: int = N) -> DataFrame:
 
 def matches(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """doc_id, sig, item_id, score for every document and item that share a rare seed."""
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("sig")).where("text is not null").dropDuplicates(["doc_id", "sig"])
+    sig = F.xxhash64("text")
+    own = docs.select(F.coalesce("doc_id", sig).alias("doc_id"), "text", sig.alias("sig")).where("text is not null").dropDuplicates(["doc_id", "sig"])
     near = settle(hits(own, settle(seeds(items, n)), n))
     tests = items.select("item_id", F.col("text").alias("item")).groupBy("item_id").agg(F.max("item").alias("item"))
 
@@ -156,5 +159,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a copy of a benchmark item."""
     found = matches(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(F.col("score") >= LEAK).select("doc_id", "sig").distinct()
-    return docs.withColumn("sig", F.xxhash64("text")).join(bad, ["doc_id", "sig"], "left_anti").select(*docs.columns)
+    sig = free(docs, "sig")
+    # whether a text leaks depends on the text alone
+    bad = found.where(F.col("score") >= LEAK).select(F.col("sig").alias(sig)).distinct()
+    return docs.withColumn(sig, F.xxhash64("text")).join(bad, sig, "left_anti").select(*docs.columns)

@@ -3,13 +3,15 @@
 Words score WORD, tags a negative weight, and a linear scan finds the contiguous run with the
 largest sum. Tag weights are learned from pages that mark their own content: where a page has an
 article or main element, each tag's share outside of it, over all such pages, sets its price, so
-links and list items of menus end a run and paragraphs hardly do. Tags never seen in a labelled
-page cost DEFAULT_TAG. What stands in boilerplate elements (menus, headers, footers, forms,
+links and list items of menus end a run and paragraphs hardly do. Tags seen fewer than MIN_TAGS
+times in labelled pages cost DEFAULT_TAG. What stands in boilerplate elements (menus, headers, footers, forms,
 asides, scripts and those whose class or id says advert, comment, notice and the like) never
 scores and is left out of the run; borders of an article or main element end it.
 
 Null or empty pages give the empty text. Ties take the earliest run. Repeated rows give the same
-text. Malformed markup is read as far as it goes: a boilerplate element that is never closed ends
+text. Very long pages are read whole, in one row's memory; an empty table gives no rows; text and n_chars
+replace columns of these names, and all others stay. Quotes in a tag count after an equals sign only, and
+one that is never closed ends with the tag. Malformed markup is read as far as it goes: a boilerplate element that is never closed ends
 with the element around it.
 """
 
@@ -30,6 +32,7 @@ WORD = 1.0
 DEFAULT_TAG = -1.0
 OUTSIDE = -6.0
 BORDER = -1e6
+MIN_TAGS = 20
 # HTML element names and words of class names, by their role.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "math", "canvas"}
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "head", "button", "menu", "dialog"} | RAW
@@ -44,7 +47,7 @@ NOISE = re.compile(
     r"(?i)(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?"
     r"|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])"
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|([^<]+|<)", re.S)
 NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 
 
@@ -99,14 +102,13 @@ def learn_weights(pages: DataFrame, column: str = "html") -> dict[str, float]:
                 for kind, name, _ in tokens(page):
                     if kind != "text":
                         depth += (name in CONTENT) * (1 if kind == "open" else -1)
-                        if re.fullmatch(r"[a-z][a-z0-9]{0,11}", name):
-                            (inside if depth > 0 else outside)[name] += 1
+                        (inside if depth > 0 else outside)[name] += 1
             names = set(inside) | set(outside)
             yield pd.DataFrame([(t, inside[t], outside[t]) for t in names], columns=["tag", "i", "o"])
 
     rows = (
         pages.select(column).mapInPandas(count, "tag string, i long, o long")
-        .groupBy("tag").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i + o >= 20").orderBy("tag").limit(1000).collect()
+        .groupBy("tag").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where(F.col("i") + F.col("o") >= MIN_TAGS).collect()
     )
     return {r["tag"]: OUTSIDE * r["o"] / (r["i"] + r["o"]) - 0.01 for r in rows}
 

@@ -14,7 +14,9 @@ hold) is not put into one shard: its strings are counted by 128-bit fingerprints
 all tasks. Both ways are exact up to hash collisions.
 
 Null or empty texts, and those under WINDOW bytes, lose nothing. Repeated rows are copies of each
-other and lose all strings of WINDOW bytes. An empty table gives no rows.
+other and lose all strings of WINDOW bytes; so do rows without a doc_id. Very long texts are read whole, in
+one row's memory. Ties cannot arise. An empty table gives no rows. Other columns are not read, and the
+stage keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import free, settle, table
 
 WINDOW = 200
 K = 24
@@ -188,7 +190,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
+    """own_id, doc_id, sig, text: a row without an own id is named by its text."""
+    own = docs.select(F.col("doc_id").alias("own_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
+    return own.select("own_id", F.coalesce("own_id", "sig").alias("doc_id"), "sig", "text")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -199,7 +203,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     alike = copies.where((F.col("c") > 1) & (F.col("n") >= window)).select(
         "doc_id", "sig", F.lit(0).alias("lo"), (F.col("n") - window).cast("int").alias("hi")
     )
-    found = repeated(own.dropDuplicates(["doc_id", "sig"]), window)
+    found = repeated(own.select("doc_id", "sig", "text").dropDuplicates(["doc_id", "sig"]), window)
     lists = found.unionByName(alike).groupBy("doc_id", "sig").agg(
         F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("starts")
     )
@@ -223,7 +227,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept"])
 
     return own.join(lists, ["doc_id", "sig"], "left").withColumn("got", cut("text", "starts")).select(
-        "doc_id", "sig", F.octet_length("text").cast("long").alias("n_bytes"), "got.n_removed", "got.n_spans", "got.kept"
+        F.col("own_id").alias("doc_id"), "sig", F.octet_length("text").cast("long").alias("n_bytes"), "got.n_removed", "got.n_spans", "got.kept"
     )
 
 
@@ -236,17 +240,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages. Bytes of a character cut in half are dropped;
     documents of which nothing is left go."""
-    kept = cut_repeats(docs).where("n_removed > 0").select("doc_id", "sig", "kept").dropDuplicates(["doc_id", "sig"])
+    sig, left, new = (free(docs, c) for c in ("sig", "left", "new"))
+    # what is left of a text depends on the text alone
+    kept = cut_repeats(docs).where("n_removed > 0").select(F.col("sig").alias(sig), F.col("kept").alias(left)).dropDuplicates([sig])
 
     @F.pandas_udf("string")
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:
             yield p.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("decoded"))
-    kept = kept.withColumn("decoded", decode("kept"))
-    own = docs.withColumn("sig", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = own.join(kept, ["doc_id", "sig"], "left").withColumn("text", text)
+    kept = kept.withColumn(new, decode(left))
+    own = docs.withColumn(sig, F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = own.join(kept, sig, "left").withColumn("text", F.when(F.col(left).isNull(), F.col("text")).otherwise(F.col(new)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where("kept is null or text <> ''").select(*docs.columns)
+    return out.where(F.col(left).isNull() | (F.col("text") != "")).select(*docs.columns)

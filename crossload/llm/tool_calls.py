@@ -3,10 +3,14 @@
 Native: DataFrame functions only. Calls and results join by identifier; repeated calls or results
 of one identifier collapse to the smallest by position. A call may name the call it follows; its
 depth comes from pointer doubling, so chains of n calls take log2(n) joins, and calls in a cycle
-get depth null and status ``cycle``. Arguments are read with their tool's schema, whose sorted
-fields make the canonical JSON. Status: ok, unknown_tool, invalid (no JSON, or a required field
-missing or of another type), no_result, or cycle. Null identifiers are dropped: nothing can link
-to them. A parent that does not exist counts as none. Empty tables give empty results.
+get depth null and status ``cycle``. Arguments are parsed as they are; the fields' types are held
+against their tool's schema without conversion, and fields in sorted order make the canonical JSON.
+Status: ok, unknown_tool, invalid (no JSON object, a field that the schema lacks, a required field
+missing or null, or one of another type), no_result, cycle, or no_call (a result whose call is not
+there). Null identifiers are dropped: nothing can link
+to them. A parent that does not exist counts as none. Very long arguments are one row's memory. After
+max_rounds doublings (chains of 2^64 calls) depths would stay null. Empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 # Tool to fields: name to (Spark type, required).
+KINDS = {"string": ["STRING"], "bigint": ["BIGINT"], "double": ["DOUBLE", "BIGINT"], "boolean": ["BOOLEAN"]}
 SCHEMAS = {
     "answer": {"question": ("string", True), "turn": ("bigint", True)},
     "reply": {"question": ("string", True), "turn": ("bigint", True), "style": ("string", False)},
@@ -49,19 +54,19 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict | None = None
         F.min_by(F.struct(*cols), F.struct("position", *cols)).alias("x")).select("call_id", "x.*")
     calls = settle(one(calls, "conv_id", "position", "tool", "arguments", "after"))
     results = one(results.withColumn("found", F.lit(True)), "content", "found").withColumnRenamed("found", "has_result")
-    canonical, valid = F.lit(None).cast("string"), F.lit(False)
+    read, valid = F.try_parse_json("arguments"), F.lit(False)
     for tool, fields in schemas.items():
-        ddl = ", ".join(f"`{k}` {kind}" for k, (kind, _) in sorted(fields.items()))
-        read = F.from_json("arguments", ddl)
-        ok = F.lit(True)
+        ok = F.size(F.array_except(F.coalesce(F.json_object_keys("arguments"), F.array(F.lit(""))), F.array(*map(F.lit, fields)))) == 0
         for k, (kind, required) in fields.items():
-            given = F.get_json_object("arguments", f"$.{k}").isNotNull()
-            ok = ok & (read[k].isNotNull() if required else (read[k].isNotNull() | ~given))
-        canonical = F.when(F.col("tool") == tool, F.to_json(read)).otherwise(canonical)
+            given = F.coalesce(F.schema_of_variant(F.try_variant_get(read, f"$.{k}", "variant")), F.lit("VOID"))
+            ok = ok & (given.isin(*KINDS[kind]) if required else given.isin("VOID", *KINDS[kind]))
         valid = F.when(F.col("tool") == tool, ok).otherwise(valid)
-    linked = calls.join(depths(calls), "call_id").join(results, "call_id", "left").withColumns({"canonical": canonical, "valid": F.coalesce(valid, F.lit(False))})
+    linked = (
+        calls.join(depths(calls).hint("shuffle_hash"), "call_id").withColumn("called", F.lit(True)).join(results, "call_id", "full")
+        .withColumns({"canonical": F.to_json(read), "valid": F.coalesce(valid, F.lit(False))})
+    )
     status = (
-        F.when(F.col("tool").isNull() | ~F.col("tool").isin(*schemas), "unknown_tool").when(~F.col("valid"), "invalid")
+        F.when(F.col("called").isNull(), "no_call").when(F.col("tool").isNull() | ~F.col("tool").isin(*schemas), "unknown_tool").when(~F.col("valid"), "invalid")
         .when(F.col("depth").isNull(), "cycle").when(F.col("has_result").isNull(), "no_result").otherwise("ok")
     )
     message = F.to_json(F.struct(F.col("canonical").alias("arguments"), F.col("call_id").alias("id"), F.col("content").alias("result"), F.col("tool").alias("tool")))

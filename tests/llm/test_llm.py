@@ -211,3 +211,100 @@ def test_encoder_equals_whole_texts():
     odd += ["".join(rng.choice("aB1 '\n\t!\u00e9\u0301\u4e2d\u200b\u3000<|>s") for _ in range(60)) for _ in range(400)]
     for t in odd:
         assert encode(t) == made.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_html_quotes_in_tags(spark):
+    weights = {"a": -0.1, "p": -0.1}
+    assert html_text.extract("<article><p>Alpha beta <a title=it's>gamma</a> delta</p></article>", weights) == "Alpha beta gamma delta"
+    assert html_text.extract("<article><p>Alpha <a title=\"it's\" data-x=\"broken>gamma</a> delta</p></article>", weights) == "Alpha gamma delta"
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_tool_arguments_are_checked_strictly(spark):
+    given = ['{"question": 5, "turn": 1}', '{"question": "q", "turn": "1"}', '{"turn": 2, "question": "q", "more": 1}', '{"turn": 2, "question": "q"}', '[1]', "no", None]
+    calls = spark.createDataFrame([(str(k), 1, k, "answer", g, None) for k, g in enumerate(given)], "call_id string, conv_id long, position long, tool string, arguments string, after string")
+    results = spark.createDataFrame([("3", 1, "r"), ("lost", 2, "r")], "call_id string, position long, content string")
+    got = {r.call_id: (r.status, r.message) for r in tool_calls.link_calls(calls, results).collect()}
+    assert got.pop("3") == ("ok", '{"arguments":"{\\"question\\":\\"q\\",\\"turn\\":2}","id":"3","result":"r","tool":"answer"}')
+    assert got.pop("lost")[0] == "no_call" and {s for s, _ in got.values()} == {"invalid"}
+    assert tool_calls.link_calls(calls.limit(0), results.limit(0)).count() == 0
+
+
+STAGED = "doc_id long, text string, n_chars long, sig string, kept string, density string, score string, th string, difference string"
+
+
+def staged(spark, docs):
+    return spark.createDataFrame([(i, t, len(t or ""), *(f"{c}{i}" for c in "skdsth")) for i, t in docs], STAGED)
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    """labels and benchmark for the stages."""
+    top = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(k, 1, int(k >= 1000)) for k in range(1100)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    return top
+
+
+ITEM = prose(40)
+
+
+def test_stages_keep_columns_nulls_and_clean_rows(spark, sf):
+    """Each stage on odd rows: no id, big ids, repeated rows, no text, and columns with clashing names."""
+    big, base = 2**53 + 1, prose(120)
+    passage, long_text = prose(70), prose(3000)
+    rows = [(None, prose(30)), (None, None), (big, prose(30)), (5, ""), (5, None), (6, base), (6, base), (7, base), (8, prose(40) + " " + passage), (9, prose(45) + " " + passage), (10, prose(9) + " " + ITEM), (11, long_text)]
+    rows += [(1000 + k, prose(15) + " vilest") for k in range(8)] + [(200 + k, prose(15)) for k in range(8)]
+    docs = staged(spark, rows)
+    for stage in (toxicity.stage_toxicity, ngram_join.stage_near_copies, suffix_dedup.stage_repeats, decontaminate.stage_decontaminate):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        ids = [r.doc_id for r in kept]
+        assert big in ids and None in ids and all(r.sig == f"s{r.doc_id}" and r.score == f"s{r.doc_id}" for r in kept), stage
+        if stage is toxicity.stage_toxicity:
+            assert not any(i is not None and 1000 <= i < 1100 for i in ids) and len(ids) == len(rows) - 8
+        if stage is ngram_join.stage_near_copies:
+            assert ids.count(6) == 1 and 7 not in ids and ids.count(None) == 2 and len(ids) == len(rows) - 2
+        if stage is suffix_dedup.stage_repeats:
+            by = {r.doc_id: r for r in kept}
+            assert 6 not in by and 7 not in by and passage not in by[8].text and by[8].n_chars == len(by[8].text) and by[11].text == long_text
+        if stage is decontaminate.stage_decontaminate:
+            assert 10 not in ids and len(ids) == len(rows) - 1
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_hand(spark, sf):
+    """The whole pipeline on a small table with one planted case for each stage."""
+    import corpus_pipeline
+
+    base, passage, hits = prose(120), prose(70), {}
+    near = base.split()
+    near[60] = "changed"
+    texts = {1: base, 2: " ".join(near), 3: prose(50), 4: prose(40) + " " + passage, 5: prose(30) + " " + passage, 6: prose(9) + " " + ITEM, 7: None}
+    texts |= {1000 + k: prose(15) + " vilest" for k in range(8)} | {200 + k: prose(15) for k in range(8)}
+    spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    for r in corpus_pipeline.run(spark, sf).collect():
+        hits.setdefault(r.doc_id, b"")
+        hits[r.doc_id] += bytes(r.ids)
+    assert set(hits) == {1, 3, 4, 5, 7, *range(200, 208)}
+    encode = packing.encoder()
+    for i in (1, 3, 7):
+        assert hits[i] == b"".join(k.to_bytes(4, "little") for k in [*encode(texts[i] or ""), packing.END_ID])
+
+
+def test_packing_is_best_fit_decreasing(spark):
+    """As many sequences as a plain best fit of the same lengths."""
+    lengths = [rng.randint(1, 4096) for _ in range(300)] + [1] * 50 + [4096] * 3
+    df = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long").cache()
+    rows, gaps = packing.pack(df).collect(), []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        gaps.append((gaps.pop(gaps.index(min(fit))) if fit else packing.CAPACITY) - n)
+    assert len({r.sequence_id for r in rows}) == len(gaps)
+
+
+def test_large_ids_pass_beside_null_ones(spark):
+    df = spark.createDataFrame([(9007199254740993, "a b c"), (None, "d e f")], DOC)
+    assert {r.doc_id for r in packing.cut(df).collect()} == {9007199254740993, None}
+    assert {r.doc_id for r in ngram_join.link(df).collect()} == {9007199254740993, None}
