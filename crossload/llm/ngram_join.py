@@ -51,7 +51,8 @@ STEPS = 4
 BITS = 512
 FREQUENT = 200_000
 PART_ROWS = 200_000
-MOST_COUNTED = 1_000_000
+MOST_COUNTED = 300_000
+TEXTS_AT_ONCE = 2000
 SMALL_SIDE = 300_000
 BLOCK = 1_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -184,6 +185,12 @@ def digest(grams: np.ndarray) -> int | None:
     return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
 
 
+def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most TEXTS_AT_ONCE rows at a time, so that a task's memory stays small."""
+    for p in parts:
+        yield from (p.slice(k, TEXTS_AT_ONCE) for k in range(0, p.num_rows, TEXTS_AT_ONCE))
+
+
 def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
     """doc_id, th, sid, n_shingles, mini, sketch per row of docs; and in rows with a key, how often a task met it: a
     task counts each set once, and leaves out the keys it met once."""
@@ -192,7 +199,7 @@ def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         have, often = np.zeros(0, "int64"), np.zeros(0, "int64")
-        for p in parts:
+        for p in slices(parts):
             sids, sizes, found, odd = [], [], [have], [np.zeros(0, "int64")]
             for t in p.column(2).to_pylist():
                 g = shingles(t, n)
@@ -252,7 +259,7 @@ def shared_lanes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], n: int =
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for p in parts:
+        for p in slices(parts):
             sids, found, parted = [], [np.zeros(0, "int64")], [np.zeros(0, "int64")]
             for t in p.column(0).to_pylist():
                 g = shingles(t, n)
