@@ -1,38 +1,47 @@
 """Best-fit packing of tokenised documents into sequences of at most CAPACITY tokens.
 
-Bulk-synchronous best-fit-decreasing. Documents are dealt by (length, bucket) and ranked within
-their length, gaps by (size, sequence). Lengths and gaps are whole numbers up to CAPACITY, so
-all documents of one length form one step: each step matches the documents, by rank, to the
-smallest gaps that hold them (the successor sweep), updates those gaps, and goes on with the
-next shorter length. A step handles ranges of ranks and sequences, never single rows: the
-driver sees one count per length (at most CAPACITY rows) and makes a plan of ranges, whose
-size depends on CAPACITY only; documents then find their sequence from their rank in parallel.
+Bulk-synchronous best fit over rows. Every round range-sorts all open gaps and all unplaced items
+by size, largest first, gaps before items of their size. A sweep over each range gives an item its
+successor, the smallest gap before it that holds it; where several items want one gap, the first
+in rank has it and the next goes on to the next larger gap, so a sweep is a match of brackets
+with a stack. What a range can't match itself meets the rests of the others by rank: only one
+count per range reaches the driver, which says which rests belong together. Each gap takes one
+item a round, shrinks by it, and the next round begins.
+
+Sequences are opened for the total of tokens, so that no fewer can do, and more for the rest that
+fits nowhere. So that many tiny documents take few rounds, what FEW rounds over single documents
+leave (or all, where a sequence holds more than FEW on average) is bundled in the order of sizes;
+bundles that fit nowhere are taken apart into smaller ones, down to single documents, before any
+sequence is opened.
 
 Null or empty text is the single end token. Longer documents are cut into CAPACITY pieces.
-Repeated rows are packed each by itself; ties in length are ranked by id. An empty table gives
-no rows.
+Repeated rows are packed each by itself; ties in size are ranked by row. An empty table gives
+no rows. Very long texts are read whole, in one row's memory. pack() keeps columns of any name but
+its own row_id, sequence_id and offset.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import os
 import re
 import struct
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
 
 CAPACITY = 4096
 END_ID = 1
-BUCKETS = 256
+BUNDLES = (512, 128, 32, 8, 1)
+FEW = 16
+ROWS_A_RANGE = 200_000
 TEXTS_AT_ONCE = 256
 KNOWN_CHUNKS = 400_000
 
@@ -104,11 +113,14 @@ def encoder(path: str | None = None):
 
 
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """docs (doc_id, text) to pieces: doc_id, piece, start, length, ids (little-endian 32-bit)."""
+    """docs (doc_id, text) to pieces: doc_id, piece, start, length, ids (little-endian 32-bit), row_id (unique).
+
+    Write the pieces before they are read twice: row_id counts the rows of a task."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end, names = raw_encoder(path), np.array([END_ID], "<u4").tobytes(), ["doc_id", "piece", "start", "length", "ids"]
+        encode, end, names = raw_encoder(path), np.array([END_ID], "<u4").tobytes(), ["doc_id", "piece", "start", "length", "ids", "row_id"]
+        row = TaskContext.get().partitionId() << 40
         for whole in parts:
             for p in (whole.slice(k, TEXTS_AT_ONCE) for k in range(0, whole.num_rows, TEXTS_AT_ONCE)):
                 rows = []
@@ -117,97 +129,217 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> D
                     for n, s in enumerate(range(0, len(ids), 4 * capacity)):
                         rows.append((at, n, s // 4, ids[s : s + 4 * capacity]))
                 at, n, start, ids = zip(*rows)
+                row += len(rows)
                 # ids stay Arrow numbers, so that null and large ones pass as they are
                 yield pa.RecordBatch.from_arrays([
                     p.column(0).take(pa.array(at)), pa.array(n, "int32"), pa.array(start, "int64"),
-                    pa.array([len(x) // 4 for x in ids], "int64"), pa.array(ids, "binary")], names)
+                    pa.array([len(x) // 4 for x in ids], "int64"), pa.array(ids, "binary"), pa.array(range(row - len(rows), row), "int64")], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids binary"
+        run, "doc_id long, piece int, start long, length long, ids binary, row_id long"
     )
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Counts by length to ranges (length, first rank, rows, first sequence, offset).
-
-    Row first+i of the length goes to sequence first+i at the offset. Longest first; each to
-    the fullest sequences with room, else to new ones, several to a new one where they fit.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of gap: ranges (first sequence, how many)
-    sizes: list[int] = []
-    plan, fresh = [], 0
-
-    def add(size: int, first: int, many: int) -> None:
-        if size and many:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            gaps[size].append((first, many))
-
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect_left(sizes, length)
-            if k == len(sizes):
-                each = capacity // length
-                many = -(-left // each)
-                add(capacity, fresh, many)
-                fresh += many
-                continue
-            size = sizes[k]
-            first, many = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size]
-                sizes.pop(k)
-            used = min(many, left)
-            plan.append((length, rank, used, first, capacity - size))
-            add(size, first + used, many - used)
-            add(size - length, first, used)
-            rank, left = rank + used, left - used
-    return plan
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """pieces (any columns, with doc_id, piece, length) with sequence_id and offset.
-
-    Pieces should be a written table: they are read twice."""
+DOC = "<qi"  # a document within an item: row_id and length
+ITEMS = "size int, docs binary"
+PLACED, GAP, OPEN, LEFT = range(4)
+SWEPT = "kind int, part int, at long, size int, seq long, docs binary, row_id long, offset int"
+SCHEMA = pa.schema([("kind", "int32"), ("part", "int32"), ("at", "int64"), ("size", "int32"), ("seq", "int64"),
+                    ("docs", "binary"), ("row_id", "int64"), ("offset", "int32")])
+
+
+def swept(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+
+
+def place(docs: bytes, size: int, seq: int, gap: int, capacity: int) -> list[tuple]:
+    """The documents of an item at the start of a sequence's gap, and the gap that is left."""
+    out, at = [], capacity - gap
+    for row, n in struct.iter_unpack(DOC, docs):
+        out.append((PLACED, None, None, None, seq, None, row, at))
+        at += n
+    if gap > size:
+        out.append((GAP, None, None, gap - size, seq, None, None, None))
+    return out
+
+
+def ranges(many: int) -> int:
+    return max(1, math.ceil(many / ROWS_A_RANGE))
+
+
+def bundle(docs: DataFrame, most: int, parts: int) -> DataFrame:
+    """docs (row_id, n) to items: documents over half of `most` alone, others in bundles of up to `most`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for b in batches:
+            rows = []
+            for row, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if n * 2 > most:
+                    rows.append((n, struct.pack(DOC, row, n)))
+                    continue
+                if total + n > most:
+                    rows.append((total, b"".join(held)))
+                    held, total = [], 0
+                held.append(struct.pack(DOC, row, n))
+                total += n
+            yield items(rows)
+        if held:
+            yield items([(total, b"".join(held))])
+
+    def items(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], "int32"), pa.array([r[1] for r in rows], "binary")], ["size", "docs"])
+
+    docs = docs.select("row_id", "n")
+    if most > 1:  # smaller ones lie together only where they are sorted
+        order = [F.desc("n"), "row_id"]
+        docs = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return docs.mapInArrow(run, ITEMS)
+
+
+def unbundle(items: DataFrame) -> DataFrame:
+    """items to their documents (row_id, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for docs in b.column(0).to_pylist() for r in struct.iter_unpack(DOC, docs)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], "int64"), pa.array([r[1] for r in rows], "int32")], ["row_id", "n"])
+
+    return items.select("docs").mapInArrow(run, "row_id long, n int")
+
+
+def sweep(items: DataFrame, gaps: DataFrame, parts: int, capacity: int) -> DataFrame:
+    """One successor sweep over each range of sizes: placed documents, shrunk gaps, gaps left open, items left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, free, left = TaskContext.get().partitionId(), [], 0
+        for b in batches:
+            rows = []
+            for size, seq, docs in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if docs is None:
+                    free.append((seq, size))
+                elif free:
+                    rows += place(docs, size, *free.pop(), capacity)
+                else:
+                    rows.append((LEFT, part, left, size, None, docs, None, None))
+                    left += 1
+            if rows:
+                yield swept(rows)
+        if free:
+            yield swept([(OPEN, part, at, size, seq, None, None, None) for at, (seq, size) in enumerate(free)])
+
+    both = gaps.select("size", "seq", F.lit(None).cast("binary").alias("docs")).unionByName(items.select("size", F.lit(None).cast("long").alias("seq"), "docs"))
+    order = [F.desc("size"), F.col("docs").isNotNull(), "seq", "docs"]
+    return both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+
+
+def rests(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Open gaps and items left by range to (range of items, first item, how many, range of gaps, last gap):
+    items of a range meet the nearest open gaps before it, the last opened first."""
+    free, out = [], []
+    for part in sorted(counts):
+        opened, left = counts[part]
+        at = 0
+        while at < left and free:
+            where, many = free.pop()
+            used = min(many, left - at)
+            out.append((part, at, used, where, many - 1))
+            if many > used:
+                free.append((where, many - used))
+            at += used
+        if opened:
+            free.append((part, opened))
+    return out
+
+
+def meet(done: DataFrame, counts: dict[int, tuple[int, int]], capacity: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Items that a range left over go to gaps that ranges before it left open: (met, items, gaps); None if none do.
+
+    counts: of each range of the sort, its open gaps and its items left."""
+    spark, plan = done.sparkSession, rests(counts)
+    if not plan:
+        return None
+    span = "part int, low long, high long, base long, m int"
+    of_items = spark.createDataFrame([(p, a, a + n, a, m) for m, (p, a, n, _, _) in enumerate(plan)], span)
+    of_gaps = spark.createDataFrame([(q, z - n + 1, z + 1, z, m) for m, (_, _, n, q, z) in enumerate(plan)], span)
+
+    def marked(kind: int, spans: DataFrame) -> DataFrame:
+        # at most two spans for each range of the sort
+        rows = done.where(F.col("kind") == kind).alias("d")
+        near = (F.col("d.part") == F.col("s.part")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))
+        return rows.join(F.broadcast(spans.alias("s")), near, "left").select("size", "seq", "docs", "m", F.abs(F.col("at") - F.col("base")).alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for four in zip(*(b.column(k).to_pylist() for k in range(4))) for r in place(*four, capacity)]
+            if rows:
+                yield swept(rows)
+
+    items, gaps = marked(LEFT, of_items), marked(OPEN, of_gaps)
+    pairs = items.where("m is not null").select("m", "k", "docs", "size").join(gaps.where("m is not null").select("m", "k", "seq", F.col("size").alias("gap")), ["m", "k"])
+    met = settle(pairs.select("docs", "size", "seq", "gap").mapInArrow(run, SWEPT))
+    return met, items.where("m is null"), gaps.where("m is null")
+
+
+def sizes(state: DataFrame, *by: str) -> list:
+    """One row for each value of by: how many rows, their smallest, largest and summed size."""
+    return state.groupBy(*by).agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("total")).collect()
+
+
+def one_round(items: DataFrame, gaps: DataFrame, many: int, capacity: int) -> tuple[list[DataFrame], DataFrame, DataFrame, list]:
+    """A round of at most `many` rows: written results with the placed documents, items and gaps left, and the sizes of both."""
+    done = settle(sweep(items, gaps, ranges(many), capacity))
+    items, gaps = done.where(F.col("kind") == LEFT).select("size", "docs"), done.where(F.col("kind").isin(GAP, OPEN)).select("size", "seq")
+    found = sizes(done.where(F.col("kind") != PLACED), "kind", "part")  # a few rows for each range of the sort
+    counts: dict[int, tuple[int, int]] = {}
+    for r in found:
+        if r["part"] is not None:
+            opened, left = counts.get(r["part"], (0, 0))
+            counts[r["part"]] = (r["n"], left) if r["kind"] == OPEN else (opened, r["n"])
+    crossed = meet(done, counts, capacity)
+    if not crossed:
+        return [done], items, gaps, [(r["kind"] == LEFT, r["n"], r["low"], r["high"], r["total"]) for r in found]
+    met, items, rest = crossed
+    items = items.select("size", "docs")
+    gaps = rest.select("size", "seq")
+    for part in (done, met):
+        gaps = gaps.unionByName(part.where(F.col("kind") == GAP).select("size", "seq"))
+    found = sizes(items.select("size", F.lit(True).alias("item")).unionByName(gaps.select("size", F.lit(False).alias("item"))), "item")
+    return [done, met], items, gaps, [(r["item"], r["n"], r["low"], r["high"], r["total"]) for r in found]
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces (any columns, with length, and a unique row_id or none) with sequence_id and offset.
+
+    Pieces with a row_id should be a written table: they are read twice."""
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("length", "__b").agg(F.count("*").alias("n"))
-    by_length = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most CAPACITY rows
-    plan = sorted(best_fit({r["length"]: r["n"] for r in by_length}, capacity))
-    shared = spark.sparkContext.broadcast(np.array(plan, dtype="int64").reshape(-1, 5))
-    before = counts.select(
-        "length", "__b",
-        (F.sum("n").over(Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__before"),
-    )
-    ranked = (
-        dealt.withColumn("__k", F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece")))
-        .join(before, ["length", "__b"])
-        .withColumn("__rank", F.col("__before") + F.col("__k") - 1)
-        .select(*pieces.columns, "__rank")
-    )
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def find(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        p = shared.value
-        first_of = np.searchsorted(p[:, 0], np.arange(capacity + 2))
-        for length, rank in parts:
-            n, r = length.to_numpy("int64"), rank.to_numpy("int64")
-            # ranks restart at each length: shift each length's ranks past the one before
-            base = np.zeros(capacity + 2, dtype="int64")
-            tops = np.zeros(capacity + 2, dtype="int64")
-            np.maximum.at(tops, p[:, 0], p[:, 1] + p[:, 2])
-            base[1:] = np.cumsum(tops)[:-1]
-            at = np.searchsorted(base[p[:, 0]] + p[:, 1], base[n] + r, side="right") - 1
-            at = np.maximum(at, first_of[n])
-            yield pd.DataFrame({"sequence_id": p[at, 3] + r - p[at, 1], "offset": p[at, 4]})
-
-    return (
-        ranked.withColumn("__at", find("length", "__rank"))
-        .withColumns({"sequence_id": F.col("__at.sequence_id"), "offset": F.col("__at.offset")})
-        .drop("__at", "__rank")
-    )
+    if "row_id" not in pieces.columns:
+        pieces = settle(pieces.withColumn("row_id", F.monotonically_increasing_id()))
+    docs = pieces.select("row_id", F.col("length").cast("int").alias("n"))
+    many, total = docs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found, opened = [], 0
+    gaps = spark.createDataFrame([], "size int, seq long")
+    while many:
+        # nothing fits any gap: sequences for all that is left
+        fresh = math.ceil(total / capacity)
+        gaps = gaps.unionByName(spark.range(opened, opened + fresh).select(F.lit(capacity).alias("size"), F.col("id").alias("seq")))
+        ladder = ((capacity,) if opened else (1,) if many <= FEW * fresh else ()) + BUNDLES
+        opened += fresh
+        for step, most in enumerate(ladder):
+            items, fits, rounds = settle(bundle(docs, min(most, capacity), ranges(many))), True, 0
+            while fits and (rounds < FEW or most > 1 or step == len(ladder) - 1):
+                written, items, gaps, state = one_round(items, gaps, many + opened, capacity)
+                found += written
+                left, room = [r for r in state if r[0]], [r for r in state if not r[0]]
+                many, total, rounds = sum(r[1] for r in left), sum(r[4] for r in left), rounds + 1
+                fits = left and room and min(r[2] for r in left) <= max(r[3] for r in room)
+            docs = unbundle(items)
+            if not left or not room or most == 1 and not fits:
+                break
+    if not found:
+        return pieces.drop("row_id").withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    places = [f.where(F.col("kind") == PLACED).select("row_id", F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset")) for f in found]
+    return pieces.join(functools.reduce(DataFrame.unionByName, places), "row_id").drop("row_id")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -217,11 +349,15 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), whole.alias("ids"))
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Each piece's place, the checksum of its ids, and the named columns."""
+    pieces = settle(cut(docs)).withColumn("ids_crc32", F.crc32("ids"))
+    return pack(pieces.select("doc_id", "piece", "start", "length", *columns, "ids_crc32", "row_id"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(settle(cut(table(spark, sf_dir, "documents"))))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    packed = pack(settle(cut(docs)))
-    return packed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed(docs, "ids")
