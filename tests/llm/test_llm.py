@@ -308,30 +308,3 @@ def test_large_ids_pass_beside_null_ones(spark):
     df = spark.createDataFrame([(9007199254740993, "a b c"), (None, "d e f")], DOC)
     assert {r.doc_id for r in packing.cut(df).collect()} == {9007199254740993, None}
     assert {r.doc_id for r in ngram_join.link(df).collect()} == {9007199254740993, None}
-
-
-@pytest.mark.parametrize("a_range", [40, 10**6])
-def test_packing_in_ranges_places_whole_tables(spark, a_range, monkeypatch):
-    """Many ties, tiny documents and full pieces: gapless sequences, and few of them, in one range or many."""
-    monkeypatch.setattr(packing, "ROWS_A_RANGE", a_range)
-    for lengths in ([7] * 90 + [4096] * 2 + [2048] * 5 + [3000] * 6, [1] * 200, [rng.randint(1, 60) for _ in range(150)] + [4000] * 3, [4096]):
-        df = spark.createDataFrame([(k, 0, n, f"x{k}") for k, n in enumerate(lengths)], "doc_id long, piece int, length long, docs string")
-        rows, by = packing.pack(df).collect(), collections.defaultdict(list)
-        assert sorted(r.doc_id for r in rows) == list(range(len(lengths))) and all(r.docs == f"x{r.doc_id}" and r.length == lengths[r.doc_id] for r in rows)
-        for r in rows:
-            by[r.sequence_id].append((r.offset, r.length))
-        for places in by.values():
-            assert all(o == sum(n for _, n in sorted(places)[:k]) for k, (o, _) in enumerate(sorted(places))) and sum(n for _, n in places) <= packing.CAPACITY
-        big = [n for n in lengths if n * 2 > packing.CAPACITY]
-        assert len(by) <= max(-(-sum(lengths) // packing.CAPACITY), len(big)) + 1
-
-
-def test_rests_meet_the_nearest_open_gaps():
-    """As a plain match of brackets over single rows, ranges in order, each with items left before its open gaps."""
-    for _ in range(50):
-        counts = {p: (rng.randint(0, 4), rng.randint(0, 4)) for p in range(8)}
-        free, want = [], []
-        for p, (opened, left) in counts.items():
-            want += [(p, k, *free.pop()) for k in range(left) if free]
-            free += [(p, k) for k in range(opened)]
-        assert [(p, a + k, q, z - k) for p, a, n, q, z in packing.rests(counts) for k in range(n)] == want
