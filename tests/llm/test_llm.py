@@ -308,3 +308,41 @@ def test_large_ids_pass_beside_null_ones(spark):
     df = spark.createDataFrame([(9007199254740993, "a b c"), (None, "d e f")], DOC)
     assert {r.doc_id for r in packing.cut(df).collect()} == {9007199254740993, None}
     assert {r.doc_id for r in ngram_join.link(df).collect()} == {9007199254740993, None}
+
+
+def test_suffix_array_and_common_prefixes():
+    """Against sorted suffixes and prefixes counted byte by byte, with repeats, one letter only, and zeros at the end."""
+    import numpy as np
+
+    for t in range(80):
+        n = rng.randint(0, 600)
+        raw = bytes(rng.choice((b"ab\0", b"a", b"abcd", b"\0")[t % 4]) for _ in range(n)) * (1 + t % 3)
+        got = np.frombuffer(raw, "uint8")
+        order = suffix_dedup.suffix_array(got)
+        assert list(order) == sorted(range(len(raw)), key=lambda i: raw[i:])
+        if raw:
+            most = rng.choice((8, 20, 200))
+            shared = suffix_dedup.common_prefixes(got, order, most)
+            for i, j in zip(order, order[1:]):
+                x, y = raw[i : i + most].ljust(most, b"\0"), raw[j : j + most].ljust(most, b"\0")
+                assert shared[j] == next((k for k in range(most) if x[k] != y[k]), most)
+
+
+def test_suffix_dedup_merges_across_shards(spark, docs, monkeypatch):
+    """Strings of a crowded anchor that lie in different shards are found by merging ranges."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "RANGE_STRINGS", 300)
+    texts = docs + [(500, "a" * 60_000), (501, "b" * 199), (502, "xyz" * 100), (500, "a" * 60_000)]
+    found = lambda hot: {
+        (r.doc_id, r.sig): {k for p in spans for k in p}
+        for r, spans in (
+            (r, [range(a.lo, a.hi + 1) for a in r.all])
+            for r in suffix_dedup.repeated(suffix_dedup.signed(spark.createDataFrame(texts, DOC)).select("doc_id", "sig", "text").dropDuplicates(["doc_id", "sig"]), 200, hot)
+            .groupBy("doc_id", "sig").agg(F.collect_list(F.struct("lo", "hi")).alias("all")).collect()
+        )
+    }
+    split, whole = found(1), found(10**9)
+    assert split == whole
+    by = {doc: places for (doc, _), places in split.items()}
+    assert by[500] == set(range(60_000 - 199)) and 501 not in by and by[502] == set(range(101))
+    assert by[5] == by[6] == set(range(len(texts[5][1]) - 199))
