@@ -38,7 +38,7 @@ from .common import free, settle, table
 WINDOW = 200
 K = 24
 HOT = 4000
-SHARD_BYTES = 5_000_000
+SHARD_BYTES = 2_000_000
 RANGE_STRINGS = 500_000
 STRETCH = 128
 U = np.uint64
@@ -102,6 +102,7 @@ def suffix_array(raw: np.ndarray) -> np.ndarray:
     if not n:
         return order
     slots, depth = regroup(np.arange(n), first[order]), 8
+    del first
     while len(slots):
         here = order[slots]
         # past the end the shorter comes first, before all others
