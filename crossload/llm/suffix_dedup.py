@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, settle, table
+from .common import drop, free, settle, table
 
 WINDOW = 200
 K = 24
@@ -226,6 +226,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
     often = settle(found.groupBy("h").agg(F.sum("m").alias("c")).where("c > 1").select("h"))
     # repeated rows give the same segments twice; they are cut from each row once
     segs = settle(segments(docs, found.join(often, "h").dropDuplicates(["doc_id", "sig", "h", "s"]), window))
+    drop(found, often)
     single = settle(segs.groupBy("h", "g").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first(F.octet_length("seg")).alias("size"), F.first("seg").alias("seg")))
     crowd = settle(single.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
     parts = F.when(F.col("k") > hot, F.ceil(F.col("k") / max(hot, 1))).otherwise(1)
@@ -285,6 +286,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
     whole = single.where("c > 1").select("h", "g", F.lit(0).alias("lo"), (F.col("size") - window).alias("hi"))
     inside = sorted_shards.where("r is null").select("h", "g", "lo", "hi")
     some = settle(inside.unionByName(across.withColumn("hi", F.col("lo"))).unionByName(whole))
+    drop(single, crowd, sorted_shards)
     return segs.select("doc_id", "sig", "h", "g", "s").join(some, ["h", "g"]).select(
         "doc_id", "sig", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi")
     )
