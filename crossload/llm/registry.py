@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, media, ngram_join, packing, quality, suffix_dedup, tool_calls, toxicity, url_filter
+from . import (
+    conversation_repair, decontaminate, html_text, media, ngram_join, packing, quality, spelling, suffix_dedup, tool_calls, toxicity, url_filter)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_media_copies": media.op10_media_copies,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "pipeline": pipeline,
 }
 SQL = {"op1_url_filter": url_filter.SQL}
