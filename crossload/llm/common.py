@@ -45,13 +45,15 @@ def settle(df: DataFrame) -> DataFrame:
     return made
 
 
-def drop(*settled: DataFrame) -> None:
+def drop(*settled: DataFrame, shuffles: bool = True) -> None:
     """Delete tables made by settle that nothing reads any more. Shuffle files go with the plans
-    that the driver has forgotten, so it is asked to collect its garbage."""
+    that the driver has forgotten, so it is asked to collect its garbage, unless they are small."""
     for df in settled:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._settled)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if not shuffles:
+        return
     gc.collect()
     settled[0].sparkSession._jvm.System.gc()
 
@@ -86,7 +88,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         last, pairs = pairs, settle(nxt)
-        drop(last)
+        drop(last, shuffles=False)
         now = state(pairs)
         if now == before:
             break

@@ -37,8 +37,8 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +53,7 @@ FREQUENT = 200_000
 PART_ROWS = 200_000
 MOST_COUNTED = 300_000
 TEXTS_AT_ONCE = 2000
+BYTES_AT_ONCE = 4_000_000
 SMALL_SIDE = 300_000
 BLOCK = 1_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -185,10 +186,17 @@ def digest(grams: np.ndarray) -> int | None:
     return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
 
 
-def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most TEXTS_AT_ONCE rows at a time, so that a task's memory stays small."""
+def slices(parts: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Rows by the size of their texts (in column number text), so that a task's memory stays small: at most
+    TEXTS_AT_ONCE with BYTES_AT_ONCE, or one."""
     for p in parts:
-        yield from (p.slice(k, TEXTS_AT_ONCE) for k in range(0, p.num_rows, TEXTS_AT_ONCE))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(p.column(text)), 0).to_numpy().astype("int64"))
+        at = 0
+        while at < p.num_rows:
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, "right"))
+            end = min(max(end, at + 1), at + TEXTS_AT_ONCE)
+            yield p.slice(at, end - at)
+            at = end
 
 
 def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
@@ -199,7 +207,7 @@ def signed(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         have, often = np.zeros(0, "int64"), np.zeros(0, "int64")
-        for p in slices(parts):
+        for p in slices(parts, 2):
             sids, sizes, found, odd = [], [], [have], [np.zeros(0, "int64")]
             for t in p.column(2).to_pylist():
                 g = shingles(t, n)
@@ -259,7 +267,7 @@ def shared_lanes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], n: int =
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for p in slices(parts):
+        for p in slices(parts, 0):
             sids, found, parted = [], [np.zeros(0, "int64")], [np.zeros(0, "int64")]
             for t in p.column(0).to_pylist():
                 g = shingles(t, n)
@@ -347,17 +355,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 def whole_sets(docs: DataFrame, at: DataFrame, n: int, text: str) -> DataFrame:
     """rep, grams of the rows named by at (rep, doc_id, th). Few names are broadcast, so that no text is
     shuffled; more go to the texts by a hash join."""
-    few = at.count() <= SMALL_SIDE
+    many = at.count()
+    if not many:
+        return docs.sparkSession.createDataFrame([], "rep long, grams array<long>")
 
-    @F.pandas_udf("array<long>")
-    def grams(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            yield pd.Series([shingles(t, n).view("int64") for t in p], dtype=object)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in slices(parts, 1):
+            grams = [shingles(t, n) for t in p.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, grams)]).astype("int32")
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.ListArray.from_arrays(ends, np.concatenate(grams).view("int64"))], ["rep", "grams"])
 
     own = docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).alias("text")).alias("own")
     same = F.col("own.th").eqNullSafe(F.col("m.th")) & F.col("own.doc_id").eqNullSafe(F.col("m.doc_id"))
-    found = own.join(F.broadcast(at.alias("m")) if few else at.alias("m").hint("shuffle_hash"), same).select("rep", "text")
-    return found.select("rep", grams.asNondeterministic()("text").alias("grams")).dropDuplicates(["rep"])
+    found = own.join(F.broadcast(at.alias("m")) if many <= SMALL_SIDE else at.alias("m").hint("shuffle_hash"), same).select("rep", "text")
+    return found.mapInArrow(run, "rep long, grams array<long>").dropDuplicates(["rep"])
 
 
 def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -392,20 +403,20 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     named = lambda reps: settle(brief.select("rep", "doc_id", "th").join(reps, "rep", "left_semi"))
     able = settle(near(star.select("a", "b"), brief, percent).join(star, ["a", "b"]))
-    full = settle(whole_sets(docs, named(ends(able)), n, text))
+    at = named(ends(able))
+    full = settle(whole_sets(docs, at, n, text))
     tried = able.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
-    links = settle(verified(tried, full, percent))
+    first = settle(verified(tried, full, percent))
+    comp = settle(components(first))
+    links = settle(first.unionByName(verified(across(able.select("a", "b").join(tried, ["a", "b"], "left_anti"), comp), full, percent)))
+    drop(first, comp, able, at, full)
     comp = settle(components(links))
-    others = settle(across(able.select("a", "b").join(tried, ["a", "b"], "left_anti"), comp))
-    more = settle(verified(others, full, percent))
-    drop(others)
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        comp = settle(components(links))
     member = together.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    open_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.mode("c").alias("main")).where("lo <> hi").select("key", "main")
-    member = settle(member.join(open_keys, "key").join(brief.select("rep", "size", "mini"), "rep"))
-    x, y = member.where("c <> main").alias("x"), member.alias("y")
+    per = member.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
+    wide = settle(member.join(per, "key").join(brief.select("rep", "size", "mini"), "rep"))
+    drop(together)
+    x, y = wide.where("c <> main").alias("x"), wide.alias("y")
     differ = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
     rest = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & differ & ~far("x", "y", percent))
@@ -413,18 +424,20 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
         .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     rest = settle(near(rest, brief, percent))
-    if rest.limit(1).count():
-        full = full.unionByName(settle(whole_sets(docs, named(ends(rest).join(full.select("rep"), "rep", "left_anti")), n, text)))
+    drop(wide, star)
+    at = named(ends(rest))
+    full = settle(whole_sets(docs, at, n, text))
     late = settle(verified(rest, full, percent))
-    if late.limit(1).count():
-        comp = settle(components(links.unionByName(late)))
-    drop(together, member, star, able, rest, brief)
+    one, comp = comp, settle(components(links.unionByName(late)))
+    drop(one, rest, at, full, late, links, brief)
     # a component of classes is named by the smallest doc_id of its rows
     named = classes.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "class_id", F.coalesce("component", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("class_id").alias("component_id"))
     known_sets = named.join(least, "c").select("sid", "class_id", "component_id")
-    return sets.join(known_sets, "sid", "left").select(
-        "doc_id", "th", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid")
+    out = settle(sets.join(known_sets, "sid", "left").select(
+        "doc_id", "th", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid"))
+    drop(made, comp)
+    return out
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    conversation_repair, decontaminate, html_text, media, ngram_join, packing, quality, spelling, suffix_dedup, tool_calls, toxicity, url_filter)
+    conversation_repair, decontaminate, html_text, media, minhash_dedup, ngram_join, packing, quality, spelling, suffix_dedup, tool_calls, toxicity, url_filter)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ QUERIES = {
     "op10_media_copies": media.op10_media_copies,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_minhash_dedup": minhash_dedup.op13_minhash_dedup,
     "pipeline": pipeline,
 }
 SQL = {"op1_url_filter": url_filter.SQL}
