@@ -35,11 +35,12 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and no later step redoes the work."""
+def settle(df: DataFrame, packed: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and no later step redoes the work.
+    packed: with more compression, for tables that hold texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd" if packed else None)
     made = spark.read.schema(df.schema).parquet(path)
     made._settled = path
     return made
@@ -76,17 +77,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+        both = pairs.select(ends).select("e.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
-        nxt = (
-            small.where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low2.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        # an edge of each id to its least neighbour, and of its other neighbours to that one
+        each = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        nxt = large.join(low2, "u").select(each).select("e.*").where("u <> v").distinct()
         last, pairs = pairs, settle(nxt)
         drop(last, shuffles=False)
         now = state(pairs)

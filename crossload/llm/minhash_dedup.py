@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import ngram_join
 from .common import components, drop, settle, table
-from .ngram_join import BITS, across, digest, far, mini, near, shingles, sketch, slices, verified, whole_sets
+from .ngram_join import digest, extended, far, mini, near, shingles, sketch, slices, verified, whole_sets
 
 N = 3
 PERCENT = 85
@@ -127,18 +127,14 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
 
     shared = settle(diagonal(classes))
     weight = shared.groupBy("rep").agg(F.sum("often").alias("weight"))
-    hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", "rep")).alias("m")).select("key", "m.weight", F.col("m.rep").alias("hub"))
-    star = settle(shared.select("key", "rep").join(hubs, "key").where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("weight").alias("weight")))
-    able = settle(near(star.select("a", "b"), classes, percent).join(star, ["a", "b"]))
+    hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", "rep")).alias("m")).select("key", F.col("m.rep").alias("hub"))
+    star = settle(shared.select("key", "rep").join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    able = settle(near(star, classes, percent))
     drop(shared, star, shuffles=False)
     at = named(ends(able))
     full = settle(whole_sets(docs, at, n, text))
-    tried = able.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
-    first = settle(verified(tried, full, percent))
-    comp = settle(components(first))
-    links = settle(first.unionByName(verified(across(able.select("a", "b").join(tried, ["a", "b"], "left_anti"), comp), full, percent)))
-    drop(first, able, full, at, comp)
-
+    links = settle(verified(able, full, percent))
+    drop(able, full, at, shuffles=False)
     comp = settle(components(links))
     member = open_tables(classes, comp)
     per = member.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
@@ -160,8 +156,8 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
         found = ngram_join.link(again, n, percent).where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
         one, late = late, settle(late.unionByName(found))
         drop(one, again, shuffles=False)
-    one, comp = comp, settle(components(links.unionByName(late)))
-    drop(one, wide, crowded, late, links)
+    comp = extended(comp, late)
+    drop(wide, crowded, late, links, shuffles=False)
 
     # a component of classes is named by the smallest doc_id of its rows
     own = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "class_id", F.coalesce("component", "rep").alias("c"))

@@ -15,10 +15,9 @@ joins there as well, with the lanes of that band.
 Lanes are dealt by key once and sorted; a scan keeps those of several sets, so that only they are
 written. A lane met very often is dealt in several parts. A lane's hub is its member that shares
 lanes with the most others, the middle of a group of near copies. Candidates whose parity
-sketches (folded to BITS bits, then whole) differ in more than d bits are dropped; others are verified on whole sets, in three steps:
-every class with the foremost hub of its lanes; then with its other hubs, where the components still
-differ; then the members of a lane outside of its largest component with the others. A group of
-thousands of near copies costs one star.
+sketches (folded to BITS bits, then whole) differ in more than d bits are dropped; others are verified on whole sets, in two steps:
+every class with the hubs of its lanes; then the members of a lane outside of its largest component with the
+others. A group of thousands of near copies costs one star.
 
 Small sets use one lane per item (LANE_ITEMS), so that too few non-empty lanes can't happen; in
 larger ones there are twice d + 1 lanes.
@@ -371,13 +370,21 @@ def whole_sets(docs: DataFrame, at: DataFrame, n: int, text: str) -> DataFrame:
     return found.mapInArrow(run, "rep long, grams array<long>").dropDuplicates(["rep"])
 
 
-def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The (a, b) of pairs in different components."""
-    side = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    return (
-        pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    )
+def extended(comp: DataFrame, late: DataFrame) -> DataFrame:
+    """Components (id, component; settled, deleted here) with more links (a, b) between their members or others: only
+    components that these touch are joined anew."""
+    if not late.limit(1).count():
+        return comp
+    named = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    pairs = late.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = settle(components(pairs))
+    top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    # ids that had no component, or were its name, come from the new ones
+    old = comp.where("id <> component").join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    names = comp.where("id = component").join(joined.select("id"), "id", "left_anti").select("id", "component")
+    made = settle(old.unionByName(names).unionByName(joined))
+    drop(comp, joined, shuffles=False)
+    return made
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -392,24 +399,21 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
     drop(rows)
     weight = shared.groupBy("rep").agg(F.sum("often").alias("weight"))
     rank = F.struct("weight", "rep")
-    hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(rank).alias("m")).select("key", F.col("m.weight").alias("weight"), F.col("m.rep").alias("hub"))
+    hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(rank).alias("m")).select("key", F.col("m.rep").alias("hub"))
     together = settle(shared.select("key", "rep").join(hubs, "key"))
     drop(shared)
 
     brief = settle(classes.join(together.select(F.col("rep").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("rep"), "size", "mini", "sketch", "at.doc_id", "at.th"))
     star = settle(
-        together.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("weight").alias("weight"))
+        together.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     )
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     named = lambda reps: settle(brief.select("rep", "doc_id", "th").join(reps, "rep", "left_semi"))
-    able = settle(near(star.select("a", "b"), brief, percent).join(star, ["a", "b"]))
+    able = settle(near(star, brief, percent))
     at = named(ends(able))
     full = settle(whole_sets(docs, at, n, text))
-    tried = able.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
-    first = settle(verified(tried, full, percent))
-    comp = settle(components(first))
-    links = settle(first.unionByName(verified(across(able.select("a", "b").join(tried, ["a", "b"], "left_anti"), comp), full, percent)))
-    drop(first, comp, able, at, full)
+    links = settle(verified(able, full, percent))
+    drop(able, full, at)
     comp = settle(components(links))
     member = together.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     per = member.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(
@@ -428,8 +432,8 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text"
     at = named(ends(rest))
     full = settle(whole_sets(docs, at, n, text))
     late = settle(verified(rest, full, percent))
-    one, comp = comp, settle(components(links.unionByName(late)))
-    drop(one, rest, at, full, late, links, brief)
+    comp = extended(comp, late)
+    drop(rest, at, full, late, links, brief)
     # a component of classes is named by the smallest doc_id of its rows
     named = classes.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "class_id", F.coalesce("component", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("class_id").alias("component_id"))
