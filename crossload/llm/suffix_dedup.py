@@ -224,10 +224,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
     found = settle(anchors(docs, window))
     # a segment of several anchors may repeat itself. Written, so that a join dealt by a crowded hash can be split
     often = settle(found.groupBy("h").agg(F.sum("m").alias("c")).where("c > 1").select("h"))
-    # repeated rows give the same segments twice; they are cut from each row once
-    segs = settle(segments(docs, found.join(often, "h").dropDuplicates(["doc_id", "sig", "h", "s"]), window))
+    # repeated rows give the same segments twice, and a list of them for each row
+    segs = settle(segments(docs, found.join(often, "h").dropDuplicates(["doc_id", "sig", "h", "s"]), window), packed=True)
     drop(found, often)
-    single = settle(segs.groupBy("h", "g").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first(F.octet_length("seg")).alias("size"), F.first("seg").alias("seg")))
+    single = settle(segs.groupBy("h", "g").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first(F.octet_length("seg")).alias("size"), F.first("seg").alias("seg")), packed=True)
     crowd = settle(single.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
     parts = F.when(F.col("k") > hot, F.ceil(F.col("k") / max(hot, 1))).otherwise(1)
     kinds = (
@@ -287,6 +287,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
     inside = sorted_shards.where("r is null").select("h", "g", "lo", "hi")
     some = settle(inside.unionByName(across.withColumn("hi", F.col("lo"))).unionByName(whole))
     drop(single, crowd, sorted_shards)
+    # of the segments only the places are read from here on
     return segs.select("doc_id", "sig", "h", "g", "s").join(some, ["h", "g"]).select(
         "doc_id", "sig", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi")
     )
@@ -306,7 +307,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     alike = copies.where((F.col("c") > 1) & (F.col("n") >= window)).select(
         "doc_id", "sig", F.lit(0).alias("lo"), (F.col("n") - window).cast("int").alias("hi")
     )
-    found = repeated(own.select("doc_id", "sig", "text").dropDuplicates(["doc_id", "sig"]), window)
+    # repeated rows are found as copies of each other, and lose what they lose by alike: no text is shuffled to make them one
+    found = repeated(own.select("doc_id", "sig", "text"), window)
     lists = found.unionByName(alike).groupBy("doc_id", "sig").agg(
         F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("starts")
     )
