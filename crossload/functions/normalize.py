@@ -64,7 +64,7 @@ def phones(c: Column) -> Column:
 
 def accents() -> tuple[str, str]:
     """Latin letters that decompose, and their base letters, from the Unicode tables."""
-    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in range(0xC0, 0x250)]
+    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
     pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -137,9 +137,16 @@ def null_if_empty(c: Column) -> Column:
     return F.when(~F.lower(F.trim(c)).isin("", *EMPTY), c)
 
 
+# patterns of dates that are written out, each with its form
+DATES = [
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{4}-\d{2}$", "yyyy-MM"), (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", "MMM d[,] yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", "MMMM d[,] yyyy"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
+]
+
+
 def timestamp(c: Column) -> Column:
     """Mixed date spellings to a timestamp of 1970 to 2100: ISO, US M/D/YYYY with overflow
-    rolling on, spreadsheet serials, epoch seconds and milliseconds."""
+    rolling on, spreadsheet serials, epoch seconds and milliseconds, and the other spellings of DATES."""
     c = F.trim(c)
     number = F.when(c.rlike(r"^-?\d+(\.\d+)?$"), c.try_cast("double"))
     seconds = F.when((number > 0) & (number < 60000), (number - 25569) * 86400).when(F.abs(number) < 1e11, number).otherwise(number / 1000)
@@ -149,6 +156,7 @@ def timestamp(c: Column) -> Column:
     found = (
         F.when(c.startswith("0000-00-00") | (c == "") | (c == "0"), None).when(number.isNotNull(), F.timestamp_micros((seconds * 1e6).cast("long")))
         .when(c.rlike(us), rolled).when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("timestamp"))
+        .otherwise(F.coalesce(*[F.when(c.rlike(like), F.try_to_timestamp(c, F.lit(form))) for like, form in DATES]))
     )
     return F.when(F.year(found).between(1970, 2100), found)
 

@@ -4,16 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, TimestampType
 
 # Fields that do not count as content.
 VOLATILE = ["migration_id", "raw_source_reference", "transformer_version", "warnings", "source_created_at", "source_updated_at"]
 STAMP = r"^\[\d{4}-\d{2}-\d{2}[^\]]*\]\s"
 
 
+def ordered(c: Column, kind: DataType, without: list[str] = VOLATILE) -> Column:
+    """A value of any nested type with the fields of its structs and the keys of its maps in order of name, at every
+    depth, and without those that don't count. Arrays keep their order; times become ISO text with milliseconds."""
+    if isinstance(kind, StructType):
+        fields = sorted((f for f in kind.fields if f.name not in without), key=lambda f: f.name)
+        made = F.struct(*[ordered(c.getField(f.name), f.dataType, without).alias(f.name) for f in fields]) if fields else F.create_map().cast("map<string,string>")
+        return F.when(c.isNotNull(), made)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: ordered(x, kind.elementType, without)) if nested(kind.elementType) else c
+    if isinstance(kind, MapType):
+        some = F.map_filter(c, lambda k, _: ~k.isin(without))
+        keys = F.array_sort(F.map_keys(some))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: ordered(some[k], kind.valueType, without)))
+    if isinstance(kind, TimestampType):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return c
+
+
+def nested(kind: DataType) -> bool:
+    return isinstance(kind, (StructType, ArrayType, MapType, TimestampType))
+
+
+def stable_json(df: DataFrame, without: list[str] = VOLATILE) -> Column:
+    """A row as JSON text that depends on its content alone, nulls written."""
+    fields = sorted((f for f in df.schema.fields if f.name not in without), key=lambda f: f.name)
+    return F.to_json(F.struct(*[ordered(F.col(f"`{f.name}`"), f.dataType, without).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
+
+
 def content_hash(df: DataFrame, without: list[str] = VOLATILE) -> Column:
-    """SHA-256 of a row's fields as JSON, in the order of their names, nulls written."""
-    names = sorted(c for c in df.columns if c not in without)
-    return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of a row's content: fields and keys in any order give the same hash, at every depth."""
+    return F.sha2(stable_json(df, without), 256)
 
 
 def destination_id(prefix: str, *parts: str | Column) -> Column:
@@ -21,12 +49,55 @@ def destination_id(prefix: str, *parts: str | Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
 
 
-def replay(incoming: DataFrame, log: DataFrame) -> DataFrame:
-    """incoming (key, hash, own id) against the log (key, old_hash, old_id): CREATED, REPLAYED (same hash: nothing
-    is written, the stored id returns) or UPDATED on the stored id."""
-    status = F.when(F.col("old_id").isNull(), "CREATED").when(F.col("hash") == F.col("old_hash"), "REPLAYED").otherwise("UPDATED")
-    return incoming.join(log, "key", "left").select(
-        "key", F.coalesce("old_id", "id").alias("destination_id"), status.alias("status"), (status != "REPLAYED").alias("writes"))
+IDENTITY = ["tenant", "platform", "source_id"]
+
+
+def identity_upsert(incoming: DataFrame, log: DataFrame, objects: DataFrame) -> DataFrame:
+    """What a write of each incoming row (n, its place in the batch; key; IDENTITY; hash; new_id) comes to, as n, key,
+    source_id, destination_id, status, replayed, writes.
+
+    log (key, destination_id, status, hash) says what was written under a key, objects (IDENTITY, destination_id) which
+    record is whose. First the key: with the same content, the stored outcome returns and nothing is written; with other
+    content, the stored record is UPDATED. A key is new: the record of that source identity is UPDATED, else one is
+    CREATED. A key that stands for another source's record can't take it over: with the same content it gets the
+    stored outcome, with other content it is FAILED, unless its own identity has a record.
+
+    Rows of one batch see those before them: a repeated key replays or updates what the first one of it did, and
+    a second key of one identity updates what the first created."""
+    col, no_id = F.col, F.lit(None).cast("string")
+    by_key, by_identity = Window.partitionBy("key").orderBy("n"), Window.partitionBy(*IDENTITY).orderBy("n")
+    known = log.select("key", col("destination_id").alias("log_id"), col("status").alias("log_status"), col("hash").alias("log_hash"))
+    mine = objects.select(*IDENTITY, col("destination_id").alias("own_id"))
+    owner = objects.select(col("destination_id").alias("log_id"), F.struct(*IDENTITY).alias("log_owner"))
+    rows = incoming.join(known, "key", "left").join(mine, IDENTITY, "left").join(owner, "log_id", "left")
+    rows = rows.withColumns({
+        "again": F.row_number().over(by_key) > 1, "who": F.struct(*IDENTITY), "keeper": F.first(F.struct(*IDENTITY)).over(by_key)})
+    # a record that is missing is made by the first row of its identity whose key is new
+    free = col("log_id").isNull() & col("own_id").isNull() & ~col("again")
+    rows = rows.withColumns({
+        "made": F.first(F.when(free, col("new_id")), ignorenulls=True).over(by_identity), "maker": F.first(F.when(free, col("n")), ignorenulls=True).over(by_identity)})
+    own = F.coalesce("own_id", F.when(col("maker") < col("n"), col("made")))
+    outcome = lambda status, id, replayed: F.struct(
+        (F.lit(status) if isinstance(status, str) else status).alias("status"), id.alias("id"), F.lit(replayed).alias("replayed"))
+    foreign = col("log_owner").isNotNull() & (col("log_owner") != col("who"))
+    alone = (
+        F.when(col("log_id").isNotNull() & col("log_hash").eqNullSafe(col("hash")), outcome(col("log_status"), col("log_id"), True))
+        .when(foreign & own.isNull(), outcome("FAILED", no_id, False))
+        .when(col("log_id").isNotNull(), outcome("UPDATED", F.coalesce(own, "log_id"), False))
+        .when(own.isNotNull(), outcome("UPDATED", own, False)).otherwise(outcome("CREATED", col("made"), False)))
+    rows = rows.withColumns({"own": own, "alone": alone}).withColumn("first", F.first("alone").over(by_key))
+    # a later row of a key sees what the ones before it of the same record left
+    kept = (col("who") == col("keeper")) & (col("first.status") != "FAILED")
+    before = F.last(F.when(col("who") == col("keeper"), col("hash")), ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"kept": kept, "differs": ~before.eqNullSafe(col("hash"))})
+    rows = rows.withColumn("changed", F.max(col("again") & col("kept") & col("differs")).over(by_key))
+    late = (
+        F.when(~col("differs"), outcome(F.when(col("changed"), "UPDATED").otherwise(col("first.status")), col("first.id"), True))
+        .when(col("kept"), outcome("UPDATED", col("first.id"), False))
+        .when(col("own").isNull(), outcome("FAILED", no_id, False)).otherwise(outcome("UPDATED", col("own"), False)))
+    out = F.when(col("again") & (col("first.status") != "FAILED"), late).otherwise(col("alone"))
+    done = rows.withColumn("out", out)
+    return done.select("n", "key", "source_id", col("out.id").alias("destination_id"), "out.status", "out.replayed", (~col("out.replayed") & (col("out.status") != "FAILED")).alias("writes"))
 
 
 def apply_outcomes(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -69,3 +140,20 @@ def classify(status: Column, errno: Column) -> Column:
 
 # Codes of errors after which a retry makes sense.
 RETRYABLE = ["RATE_LIMIT", "DEPENDENCY_MISSING", "FILE_DOWNLOAD_ERROR", "FILE_UPLOAD_ERROR", "SOURCE_TIMEOUT", "DESTINATION_API_ERROR", "UNKNOWN_ERROR"]
+# Each error code with whether a retry makes sense and whether the customer must act.
+PROFILES = [
+    ("AUTHENTICATION_ERROR", False, True),
+    ("PERMISSION_ERROR", False, True),
+    ("RATE_LIMIT", True, False),
+    ("SOURCE_NOT_FOUND", False, False),
+    ("VALIDATION_ERROR", False, False),
+    ("DUPLICATE_CONFLICT", False, True),
+    ("MAPPING_ERROR", False, True),
+    ("DEPENDENCY_MISSING", True, False),
+    ("FILE_DOWNLOAD_ERROR", True, False),
+    ("FILE_UPLOAD_ERROR", True, False),
+    ("SOURCE_TIMEOUT", True, False),
+    ("DESTINATION_API_ERROR", True, False),
+    ("UNSUPPORTED_FIELD", False, False),
+    ("UNKNOWN_ERROR", True, False),
+]

@@ -1,6 +1,7 @@
 """Finding the destination record that an incoming contact already is, in tiers of certainty.
 
-Every tier is a union of equi-joins on blocking keys, so no table is compared with itself whole.
+All signals of certainty are one equi-join on exploded keys, the blocks of the uncertain tier another;
+crowded keys and blocks are joined in parts.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+from .records import split_join
+
 FUZZY_LEAST = 0.72
 BLOCK_WARNING = 1000
 
@@ -20,31 +24,37 @@ def best(pairs: DataFrame, *order: Column) -> DataFrame:
     return pairs.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*order, "other"))).where("__n = 1").drop("__n")
 
 
-def joined(incoming: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
-    side = existing.select(F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("e", "p", "nk", "ak")])
-    same = [F.col(k) == F.col(f"o_{k}") if k != "p7" else phone7("p") == phone7("o_p") for k in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    return incoming.join(side, cond)
-
-
 def phone7(c: str) -> Column:
     return F.when(F.length(c) >= 7, F.right(F.col(c), F.lit(7)))
 
 
+def signals(df: DataFrame) -> DataFrame:
+    """id, tier, place, key: what makes two contacts the same for sure (tier 2), or most likely (3), the better first."""
+    named = F.when(F.length("nk") >= 3, F.col("nk"))
+    each = [(2, 0, F.col("e")), (2, 1, F.col("p")), (3, 0, F.concat(named, F.lit("|"), "ak")), (3, 1, F.concat(named, F.lit("|"), phone7("p")))]
+    parts = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(n).alias("place"), F.when(k != "", k).alias("key")) for t, n, k in each])
+    return df.select("id", F.explode(parts).alias("s")).select("id", "s.*").where("key is not null")
+
+
+def sure(incoming: DataFrame, existing: DataFrame, tiers: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """id, other, tier, matched_on, confidence of the incoming contacts that another one equals in e-mail, else
+    phone (tier 2), else in name with address, else in name with the last seven digits (3): one join for all signals."""
+    side = signals(existing).where(F.col("tier").isin(*tiers)).withColumnRenamed("id", "other")
+    pairs = split_join(signals(incoming).where(F.col("tier").isin(*tiers)), side, ["tier", "place", "key"], "id", "other")
+    found = best(pairs.select("id", "other", "tier", "place"), F.col("tier"), F.col("place"))
+    on = F.when(F.col("tier") == 2, F.when(F.col("place") == 0, "email").otherwise("phone")).otherwise(F.when(F.col("place") == 0, "name and address").otherwise("name and digits"))
+    confidence = F.when(F.col("tier") == 2, 0.99).otherwise(F.when(F.col("place") == 0, 0.9).otherwise(0.85))
+    return found.select("id", "other", "tier", on.alias("matched_on"), confidence.alias("confidence"))
+
+
 def exact(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Tier 2: id, other, matched_on, confidence; the same e-mail, else the same phone."""
-    pairs = joined(incoming, existing, "e").withColumn("matched_on", F.lit("email")).unionByName(
-        joined(incoming, existing, "p").withColumn("matched_on", F.lit("phone")))
-    return best(pairs.select("id", "other", "matched_on"), F.col("matched_on")).withColumn("confidence", F.lit(0.99))
+    """Tier 2: id, other, matched_on, confidence."""
+    return sure(incoming, existing, (2,)).drop("tier")
 
 
 def combined(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Tier 3: id, other, confidence; the same name with the same address, else with the same last seven digits."""
-    pairs = joined(incoming, existing, "nk", "ak").withColumn("confidence", F.lit(0.9)).unionByName(
-        joined(incoming, existing, "nk", "p7").withColumn("confidence", F.lit(0.85)))
-    return best(pairs.where(F.length("nk") >= 3).select("id", "other", "confidence"), F.desc("confidence"))
+    """Tier 3: id, other, confidence."""
+    return sure(incoming, existing, (3,)).select("id", "other", "confidence")
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -71,11 +81,30 @@ def similarity(a: str, b: str) -> Column:
     @F.pandas_udf("double")
     def measure(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for some, others in pairs:
-            yield pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(some, others)], dtype="float64")
+            known: dict = {}  # names and addresses repeat within a batch
+            out = []
+            for pair in zip(some, others):
+                if pair not in known:
+                    known[pair] = None if pair[0] is None or pair[1] is None else jaro_winkler(*pair)
+                out.append(known[pair])
+            yield pd.Series(out, dtype="float64")
 
     return measure(a, b)
 
 
+def at_most(a: str, b: str) -> Column:
+    """A bound that no Jaro-Winkler similarity of two columns passes: at most so many letters agree as each has in
+    common with the other."""
+    x, y = F.col(a), F.col(b)
+    shared = lambda p, q: F.length(p) - F.length(F.call_function("translate", p, q, F.lit("")))
+    hits = F.least(shared(x, y), shared(y, x))
+    jaro = F.when((x == "") | (y == ""), F.when(x == y, 1.0).otherwise(0.0)).otherwise((hits / F.length(x) + hits / F.length(y) + 1) / 3)
+    jaro = F.when(hits == 0, 0.0).otherwise(jaro)
+    head = lambda n: (F.substring(x, 1, n) == F.substring(y, 1, n)) & (F.length(x) >= n) & (F.length(y) >= n)
+    prefix = F.when(head(4), 4).when(head(3), 3).when(head(2), 2).when(head(1), 1).otherwise(0)
+    return F.when(x == y, 1.0).otherwise(jaro + prefix * 0.1 * (1 - jaro))
+
+
 def blocks(df: DataFrame) -> DataFrame:
     """id, block: the keys under which a contact may meet another one."""
     last = F.element_at(F.split("nk", " "), -1)
@@ -91,25 +120,27 @@ def block_sizes(df: DataFrame, warn: int = BLOCK_WARNING) -> DataFrame:
 
 
 def fuzzy(incoming: DataFrame, existing: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
-    """Tier 4: id, other, confidence of contacts alike in name, address and last digits; for review only."""
-    pairs = blocks(incoming).join(blocks(existing).select(F.col("id").alias("other"), "block"), "block").select("id", "other").distinct()
+    """Tier 4: id, other, confidence of contacts alike in name, address and last digits; for review only. Pairs of a
+    block whose bounds cannot reach the least score are dropped before any letters are compared."""
+    pairs = split_join(blocks(incoming), blocks(existing).withColumnRenamed("id", "other"), ["block"], "id", "other").select("id", "other").distinct()
     side = existing.select(F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("p", "nk", "ak")])
     both = pairs.join(incoming.select("id", "p", "nk", "ak"), "id").join(side, "other")
+    digits = F.when(phone7("p") == phone7("o_p"), 0.2).otherwise(0.0)
+    place_most = F.when(F.col("ak") == F.col("o_ak"), 0.3).otherwise(F.coalesce(at_most("ak", "o_ak") * 0.2, F.lit(0.0)))
+    name_most = F.coalesce(at_most("nk", "o_nk") * 0.6, F.lit(0.0))
+    able = both.where(name_most + place_most + digits >= least - 1e-9)
     name = F.coalesce(similarity("nk", "o_nk") * 0.6, F.lit(0.0))
-    place = F.coalesce(F.when(F.col("ak") == F.col("o_ak"), F.lit(0.3)).otherwise(similarity("ak", "o_ak") * 0.2), F.lit(0.0))
-    digits = F.when(F.right("p", F.lit(7)) == F.right("o_p", F.lit(7)), 0.2).otherwise(0.0)
-    scored = both.select("id", "other", F.least(name + place + digits, F.lit(0.98)).alias("confidence"))
+    place = F.when(F.col("ak") == F.col("o_ak"), 0.3).otherwise(F.coalesce(similarity("ak", "o_ak") * 0.2, F.lit(0.0)))
+    scored = able.select("id", "other", F.least(name + place + digits, F.lit(0.98)).alias("confidence"))
     return best(scored.where(F.col("confidence") >= least), F.desc("confidence"))
 
 
 def actions(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """id, tier, action, other, confidence of every incoming contact: its surest tier decides."""
-    two = exact(incoming, existing).select("id", F.lit(2).alias("tier"), "other", "confidence")
-    left = incoming.join(two, "id", "left_anti")
-    three = combined(left, existing).select("id", F.lit(3).alias("tier"), "other", "confidence")
-    left = left.join(three, "id", "left_anti")
-    four = fuzzy(left, existing).select("id", F.lit(4).alias("tier"), "other", "confidence")
-    found = two.unionByName(three).unionByName(four)
+    """id, tier, action, other, confidence of every incoming contact: its surest tier decides. Both sides are keyed
+    tables (id, e, p, nk, ak), written already: their keys are read several times."""
+    first = written(sure(incoming, existing).select("id", "tier", "other", "confidence"), "sure")
+    left = incoming.join(first, "id", "left_anti")
+    found = first.unionByName(fuzzy(left, existing).select("id", F.lit(4).alias("tier"), "other", "confidence"))
     action = F.when(F.col("tier") == 2, "UPDATE_EXISTING").when(F.col("tier") > 2, "REVIEW").otherwise("CREATE_NEW")
     return incoming.select("id").join(found, "id", "left").withColumn("action", action)
 

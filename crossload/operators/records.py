@@ -11,6 +11,7 @@ IN_FLIGHT = ["DISCOVERED", "QUEUED", "PROCESSING"]
 BLOCKED = [".exe", ".dll", ".scr", ".bat", ".cmd", ".com", ".msi", ".jar", ".sh", ".ps1", ".vbs", ".js", ".app", ".deb", ".rpm"]
 KINDS = ["image/", "video/", "audio/", "text/", "application/"]
 LARGEST = 512 * 1024 * 1024
+BLOCK_ROWS = 1000  # of a crowded key that are joined in one cell
 
 
 def collapse(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -29,15 +30,33 @@ def disposition(state: Column) -> Column:
     return F.when(state == "CREATED", "MIGRATED").when(~state.isin(IN_FLIGHT), state)
 
 
-def candidates(incoming: DataFrame, existing: DataFrame, signals: list[list[str]]) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], id: str, other: str, at_once: int = BLOCK_ROWS) -> DataFrame:
+    """left and right joined on equal columns, with the pairs of a crowded key dealt over many tasks: its rows go to
+    parts of at_once rows by the hash of their id, and each part of one side meets each of the other in a cell
+    of its own. Every pair is made once, whatever the sizes; keys that fit one part are joined as they are."""
+    sizes = left.groupBy(*on).agg(F.count("*").alias("__l")).join(right.groupBy(*on).agg(F.count("*").alias("__r")), on)
+    parts = lambda c: F.ceil(F.col(c) / at_once).cast("int")
+    crowded = sizes.where((F.col("__l") > at_once) | (F.col("__r") > at_once)).select(*on, parts("__l").alias("__l"), parts("__r").alias("__r"))
+
+    def dealt(side: DataFrame, key: str, own: str, far: str) -> DataFrame:
+        known = side.join(crowded, on, "left")
+        mine = F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int").alias(f"__at{own}")
+        return known.withColumn(f"__at{far}", F.explode(F.sequence(F.lit(0), F.coalesce(far, F.lit(1)) - 1))).select(*side.columns, mine, f"__at{far}")
+
+    cells = ["__at__l", "__at__r"]
+    return dealt(left, id, "__l", "__r").join(dealt(right, other, "__r", "__l"), [*on, *cells]).drop(*cells)
+
+
+def candidates(incoming: DataFrame, existing: DataFrame, signals: list[list[str]], at_once: int = BLOCK_ROWS) -> DataFrame:
     """Pairs (id, other) equal in all columns of at least one signal: one equi-join over exploded
-    (signal, key) rows. For a table with itself, each pair is joined once and then turned around."""
+    (signal, key) rows, crowded keys in parts. For a table with itself, each pair is joined once and then turned around."""
     keys = lambda df, id: df.select(
         F.col("id").alias(id), F.explode(F.array(*[
             F.struct(F.lit(n).alias("signal"), F.when(F.forall(F.array(*s), lambda c: c.isNotNull()), F.to_json(F.array(*s))).alias("key"))
             for n, s in enumerate(signals)])).alias("x")).select(id, "x.*").where("key is not null")
     alone = incoming is existing
-    pairs = keys(incoming, "id").join(keys(existing, "other"), ["signal", "key"]).where("id < other" if alone else "id <> other").select("id", "other").distinct()
+    pairs = split_join(keys(incoming, "id"), keys(existing, "other"), ["signal", "key"], "id", "other", at_once)
+    pairs = pairs.where("id < other" if alone else "id <> other").select("id", "other").distinct()
     return pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))) if alone else pairs
 
 
@@ -76,5 +95,5 @@ def rejection(name: Column, size: Column, kind: Column | None = None) -> Column:
     found = F.when(end.isin(BLOCKED), "blocked_extension").when(size > LARGEST, "too_large").when(size == 0, "empty")
     if kind is None:
         return found
-    allowed = F.exists(F.array(*map(F.lit, KINDS)), lambda p: F.lower(kind).startswith(p))
-    return F.when(end.isin(BLOCKED), "blocked_extension").when(kind.isNotNull() & ~allowed, "blocked_kind").otherwise(found)
+    allowed = F.exists(F.array(*map(F.lit, KINDS)), lambda p: kind.startswith(p))  # as written: kinds are lower case
+    return F.when(end.isin(BLOCKED), "blocked_extension").when((kind != "") & ~allowed, "blocked_kind").otherwise(found)

@@ -38,24 +38,36 @@ CENTS = (
     "CASE WHEN trim(value) = '' THEN NULL ELSE CAST(floor(CAST(regexp_replace(value, '[^0-9.]', '', 'g') AS DOUBLE) * 100 + 0.5) AS BIGINT) "
     "* CASE WHEN value LIKE '(%' OR value LIKE '-%' THEN -1 ELSE 1 END END"
 )
-CREATED = (
-    "CASE k % 8 WHEN 0 THEN TIMESTAMP '2023-04-05 06:07:08' WHEN 1 THEN TIMESTAMP '2023-03-15' WHEN 2 THEN TIMESTAMP '2023-03-15' "
-    "WHEN 3 THEN TIMESTAMP '2023-11-14 22:13:20' WHEN 4 THEN TIMESTAMP '2023-11-14 22:13:20' END"
+NUMBER = r"CASE WHEN regexp_matches(trim({0}), '^-?\d+(\.\d+)?$') THEN TRY_CAST(trim({0}) AS DOUBLE) END"
+US_DATE = r"regexp_extract(trim({0}), '^(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}})$', {1})"
+FOUND_DATE = (
+    "CASE WHEN trim({0}) = '' OR trim({0}) = '0' OR starts_with(trim({0}), '0000-00-00') THEN NULL "
+    f"WHEN {NUMBER} IS NOT NULL THEN make_timestamp(CAST(1000000 * (CASE WHEN {NUMBER} > 0 AND {NUMBER} < 60000 THEN ({NUMBER} - 25569) * 86400 WHEN abs({NUMBER}) < 1e11 THEN {NUMBER} ELSE {NUMBER} / 1000 END) AS BIGINT)) "
+    f"WHEN {US_DATE.replace('{1}', '3')} <> '' THEN CAST(make_date(CAST({US_DATE.replace('{1}', '3')} AS BIGINT), 1, 1) + to_months(CAST({US_DATE.replace('{1}', '1')} AS INTEGER) - 1) + to_days(CAST({US_DATE.replace('{1}', '2')} AS INTEGER) - 1) AS TIMESTAMP) "
+    r"WHEN regexp_matches(trim({0}), '^\d{{4}}-\d{{2}}-\d{{2}}') THEN TRY_CAST(trim({0}) AS TIMESTAMP) END"
 )
+DATE_OF = "CASE WHEN year({x}) BETWEEN 1970 AND 2100 THEN {x} END".replace("{x}", f"({FOUND_DATE})")
+CREATED = DATE_OF.format("created")
+STATE = (f"CASE WHEN upper(trim(state)) IN ({', '.join(repr(v) for v in n.STATES.values())}) THEN upper(trim(state)) "
+         + " ".join(f"WHEN lower(trim(state)) = '{k}' THEN '{v}'" for k, v in n.STATES.items()) + " ELSE trim(state) END")
+BARE_ZIP = r"regexp_replace(zip, '\s', '', 'g')"
+POSTAL = (rf"CASE WHEN regexp_matches({BARE_ZIP}, '^\d{{5}}-?\d{{4}}$') THEN substr({BARE_ZIP}, 1, 5) || '-' || right({BARE_ZIP}, 4) "
+          rf"WHEN regexp_matches({BARE_ZIP}, '^\d{{5}}$') THEN {BARE_ZIP} ELSE upper(trim(zip)) END")
 C = F.col
 column("norm_email", "raw_contact", lambda: n.email(C("email")), EMAIL)
 column("norm_phone", "raw_contact", lambda: n.phone(C("phone")), PHONE)
 column("norm_name_key", "raw_contact", lambda: n.name_key(C("full_name")), NAME.format("full_name"))
-column("norm_state", "raw_contact", lambda: n.state(C("state")), "'OH'")
-column("norm_postal", "raw_contact", lambda: n.postal(C("zip")), "CASE WHEN k % 3 = 0 THEN zip ELSE substr(zip, 1, 5) || '-1234' END")
+column("norm_state", "raw_contact", lambda: n.state(C("state")), STATE)
+column("norm_postal", "raw_contact", lambda: n.postal(C("zip")), POSTAL)
 column("norm_country", "raw_contact", lambda: n.country(C("country")),
        "CASE WHEN lower(country) IN ('usa', 'united states') THEN 'US' WHEN lower(country) IN ('ca', 'canada') THEN 'CA' WHEN country = 'fr' THEN 'FR' ELSE country END")
 column("address_key", "raw_contact", lambda: n.address_key(C("street"), C("zip")), STREET)
 column("norm_date", "raw_contact", lambda: n.timestamp(C("created")), CREATED)
 column("norm_money", "raw_job", lambda: n.cents(C("value")), CENTS)
 column("norm_tags", "raw_contact", lambda: F.array_join(n.tags(C("tags")), ";"),
-       "split_part(tags, ';', 1) || ';vip' || CASE WHEN k % 2 = 0 THEN '' ELSE ';new' END")
-column("norm_text", "raw_file", lambda: n.text(F.concat(F.lit(" \t"), "name", F.lit("  x\n")), 9), "substr(name || ' x', 1, 9)")
+       "(SELECT string_agg(tag, ';' ORDER BY pos) FROM (SELECT min_by(trim(t), pos) AS tag, min(pos) AS pos FROM (SELECT unnest(regexp_split_to_array(tags, '[;,|]')) AS t, "
+       "unnest(range(len(regexp_split_to_array(tags, '[;,|]')))) AS pos) x WHERE trim(t) <> '' GROUP BY lower(trim(t))) y)")
+column("norm_text", "raw_file", lambda: n.text(F.concat(F.lit(" \t"), "text", F.lit("  x\n"))), r"trim(regexp_replace(text || ' x', '[\s\x{A0}\x{FEFF}]+', ' ', 'g'))")
 column("safe_name", "raw_file", lambda: n.safe_name(C("name")), "replace(name, ' ', '_')")
 column("mask_value", "raw_contact", lambda: n.mask(C("street")),
        "CASE WHEN length(street) <= 8 THEN repeat('*', length(street)) ELSE left(street, 3) || repeat('*', CAST(least(length(street) - 6, 12) AS INTEGER)) || right(street, 3) END")

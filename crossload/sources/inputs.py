@@ -45,7 +45,9 @@ SELECT o_orderkey AS k, concat('J', lpad(CAST(o_orderkey AS STRING), 6, '0')) AS
   o_orderstatus AS status, o_orderdate AS created,
   CASE o_orderkey % 11 WHEN 0 THEN 'DISCOVERED' WHEN 1 THEN 'QUEUED' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'CREATED' WHEN 4 THEN 'UPDATED'
     WHEN 5 THEN 'MERGED' WHEN 6 THEN 'SKIPPED' WHEN 7 THEN 'FAILED' WHEN 8 THEN 'UNSUPPORTED' ELSE 'CREATED' END AS state,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'job' ELSE 'contact' END AS entity
+  CASE WHEN o_orderkey % 2 = 0 THEN 'job' ELSE 'contact' END AS entity,
+  CASE WHEN o_orderkey % 20 = 0 THEN '' WHEN o_orderkey % 40 = 7 THEN 'U99999'
+    ELSE concat('U', lpad(CAST(o_orderkey % 10 AS STRING), 4, '0'), ',U', lpad(CAST(o_orderkey % 13 AS STRING), 4, '0')) END AS user_ids
 FROM orders"""),
     "raw_event": (["events"], """
 SELECT event_id AS k, event_type AS vendor, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id AS STRING) END AS event_key,
@@ -94,8 +96,9 @@ SELECT k, id, name, size, text, md5(text) AS sent_hash,
   CASE WHEN k % 15 <> 0 THEN concat('https://files.example/', CAST(k AS STRING)) END AS url,
   CASE WHEN k % 3 = 0 THEN 'job' ELSE 'contact' END AS parent_type,
   concat(CASE WHEN k % 3 = 0 THEN 'J' ELSE 'C' END, lpad(CAST(k AS STRING), 6, '0')) AS parent_id,
-  CASE k % 6 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PENDING' WHEN 3 THEN 'UNSUPPORTED' ELSE 'UPLOADED' END AS state,
-  k % 7 AS attempt, TIMESTAMP '2024-01-20 00:00:00' + INTERVAL '1' MINUTE * (k % 40000) AS retry_at
+  CASE k % 8 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'DISCOVERED' WHEN 3 THEN 'UNSUPPORTED' WHEN 4 THEN 'QUEUED' WHEN 5 THEN 'PROCESSING' ELSE 'CREATED' END AS state,
+  k % 7 AS attempt, CASE WHEN k % 3 <> 0 THEN TIMESTAMP '2024-01-20 00:00:00' + INTERVAL '1' MINUTE * (k % 40000) END AS retry_at,
+  concat('M', CAST(k % 9 AS STRING)) AS migration_id
 FROM {raw_file}"""),
     "ledger": (["raw_job", "raw_contact"], """
 SELECT k, concat('M', CAST(k % 9 AS STRING)) AS migration_id, 'job' AS entity, id AS source_id, state, k % 5 AS attempt,
@@ -125,42 +128,75 @@ SELECT concat('mig_1:export:contact:', id) AS key, id AS source_id, concat('W',
 FROM {raw_contact} WHERE k % 4 = 0 AND id <> ''"""),
     "decision": (["raw_contact"], """
 SELECT id AS source_id, CASE k % 3 WHEN 0 THEN 'SKIP' WHEN 1 THEN 'MERGE' ELSE 'CREATE_NEW' END AS decision,
-  CASE WHEN k % 3 = 1 THEN concat('D', CAST(k - 1 AS STRING)) END AS target, CASE WHEN k % 10 < 8 THEN 'REVIEWED' ELSE 'OPEN' END AS status
+  CASE WHEN k % 3 = 1 THEN concat('D', CAST(k - 1 AS STRING)) END AS target, CASE WHEN k % 10 < 8 THEN 'REVIEWED' ELSE 'OPEN' END AS status,
+  concat('M', CAST(k % 9 AS STRING)) AS migration_id
 FROM {raw_contact} WHERE k % 7 = 0 AND id <> ''"""),
     "checklist": (["orders"], """
-SELECT o_custkey AS migration_id, o_orderkey AS task_id, o_orderkey % 3 = 0 AS blocks,
-  CASE o_orderkey % 4 WHEN 0 THEN 'TODO' WHEN 1 THEN 'DONE' WHEN 2 THEN 'DONE' ELSE 'NOT_APPLICABLE' END AS status FROM {orders}"""),
+SELECT o_custkey AS migration_id, o_orderkey AS task_id, o_orderkey % 9 = 0 AS blocks,
+  CASE o_orderkey % 5 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'DONE' WHEN 3 THEN 'DONE' ELSE 'NOT_APPLICABLE' END AS status FROM {orders}"""),
     "migration": (["customer"], """
 SELECT c_custkey AS migration_id, TIMESTAMP '2023-12-01 12:00:00' + INTERVAL '1' HOUR * (c_custkey % 1800) AS started_at, 20 + c_custkey % 40 AS sla_days,
   CASE c_custkey % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'PAUSED' WHEN 2 THEN 'COMPLETED' WHEN 3 THEN 'QUEUED' ELSE 'FAILED' END AS status,
   concat('A', CAST(c_nationkey AS STRING)) AS account FROM {customer}"""),
     "migration_pass": (["orders"], """
 SELECT o_custkey AS migration_id, o_orderkey AS k, o_orderdate AS watermark_at,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, o_orderkey % 100 AS discovered, o_orderkey % 40 AS written FROM {orders}"""),
+  CASE WHEN o_orderkey % 3 = 0 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, 1 + o_orderkey % 50 AS number,
+  CASE o_orderkey % 4 WHEN 0 THEN 'HISTORICAL' WHEN 1 THEN 'FINAL_DELTA' ELSE 'DELTA' END AS kind, o_orderkey % 100 AS discovered, o_orderkey % 40 AS written FROM {orders}"""),
     "selection": (["customer", "entity_plan"], """
 SELECT c_custkey AS migration_id, entity FROM {customer} CROSS JOIN (SELECT DISTINCT entity, ord FROM {entity_plan}) e WHERE (c_custkey * 7 + ord * ord) % 5 < 3"""),
     "discovery": (["ledger"], """
-SELECT migration_id, entity, count(*) + CASE WHEN entity = 'job' AND migration_id = 'M3' THEN 2 ELSE 0 END AS n, migration_id <> 'M5' AS supported FROM {ledger} GROUP BY migration_id, entity"""),
+SELECT migration_id, entity, count(*) + CASE WHEN entity = 'job' AND migration_id = 'M3' THEN 2 WHEN entity = 'contact' AND migration_id = 'M2' THEN 5 ELSE 0 END AS n,
+  migration_id <> 'M5' AS supported FROM {ledger} GROUP BY migration_id, entity"""),
+    "chosen": (["ledger"], """
+SELECT DISTINCT migration_id, entity FROM {ledger} WHERE migration_id <> 'M4' AND NOT (migration_id = 'M2' AND entity = 'contact')"""),
+    "capability": (["region", "entity_plan"], """
+SELECT CAST(r_regionkey AS STRING) AS platform, entity, CASE (r_regionkey * 5 + ord) % 4 WHEN 0 THEN 'false' WHEN 1 THEN 'conditional' ELSE 'true' END AS level
+FROM {region} CROSS JOIN (SELECT DISTINCT entity, ord FROM {entity_plan}) e WHERE (r_regionkey + ord) % 9 <> 0"""),
+    "raw_payload": (["raw_note"], """
+SELECT k, replace(replace(concat('< "id" : ', CAST(k AS STRING), ', "token":"', token, '","note": <"Header": "', header, '", "list":[ <"api_key": [1, <"x":2>], "amount": 1.50>, "Basic dXNlcg==", "plain ',
+    CAST(k % 10 AS STRING), '", null],"deep":<"a":<"b":<"sessionId":<"v":true>,"ok":"é">>>>>'), '<', chr(123)), '>', chr(125)) AS payload,
+  replace(replace(concat('< "id" : ', CAST(k AS STRING), ', "token":"[REDACTED]","note": <"Header": "', CASE WHEN header LIKE 'Bearer %' THEN '[REDACTED]' ELSE header END,
+    '", "list":[ <"api_key": "[REDACTED]", "amount": 1.50>, "[REDACTED]", "plain ', CAST(k % 10 AS STRING), '", null],"deep":<"a":<"b":<"sessionId":"[REDACTED]","ok":"é">>>>>'), '<', chr(123)), '>', chr(125)) AS clean
+FROM {raw_note}"""),
     "raw_opportunity": (["lineitem"], """
 SELECT l_orderkey * 10 + l_linenumber AS k, concat('O', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,
   concat('C', lpad(CAST(l_suppkey AS STRING), 6, '0')) AS contact_id, concat('S', CAST(l_partkey % 30 AS STRING)) AS stage_id,
-  concat(concat('U', lpad(CAST(l_suppkey AS STRING), 4, '0')), CASE WHEN l_linenumber % 2 = 0 THEN concat(',U', lpad(CAST(l_linenumber AS STRING), 4, '0')) ELSE ',U99999' END) AS user_ids
+  concat(concat('U', lpad(CAST(l_suppkey AS STRING), 4, '0')), CASE WHEN l_linenumber % 2 = 0 THEN concat(',U', lpad(CAST(l_linenumber AS STRING), 4, '0')) ELSE ',U99999' END) AS user_ids,
+  CASE WHEN l_partkey % 6 <> 0 THEN CAST(l_partkey % 7 AS STRING) END AS pipeline_id
 FROM {lineitem}"""),
 }
-# Entities in the order they move, and what each needs (kind: requires, any, enriched).
-ENTITIES = (
-    "account|||;location|account||;user|||account;team|user||;custom_field|||account;tag|||account;pipeline|||account;pipeline_stage|pipeline||;"
-    "status_definition|||account;contact|||user,tag,custom_field;company|||user;lead|contact||;opportunity|contact||pipeline,pipeline_stage,user;"
-    "job|contact||user,status_definition,tag;job_assignment|job,user||;contact_job_relationship|job,contact||;task||contact,job|user;"
-    "appointment||contact,job|user;note||contact,job|user;activity||contact,job|user;document||job,contact|;image||job,contact|;attachment||job,contact,note|"
-)
+# Entities in the order they move, and what each requires, needs any of, and is enriched by.
+ENTITIES = [
+    ("account", [], [], []),
+    ("location", [], [], ["account"]),
+    ("user", [], [], ["account"]),
+    ("team", ["user"], [], ["account"]),
+    ("custom_field", [], [], ["account"]),
+    ("tag", [], [], ["account"]),
+    ("pipeline", [], [], ["account"]),
+    ("pipeline_stage", ["pipeline"], [], []),
+    ("status_definition", [], [], ["account"]),
+    ("contact", [], [], ["user", "tag", "custom_field"]),
+    ("company", [], [], ["user"]),
+    ("lead", ["contact"], [], []),
+    ("opportunity", ["contact"], [], ["pipeline", "pipeline_stage", "user"]),
+    ("job", ["contact"], [], ["user", "status_definition", "tag"]),
+    ("job_assignment", ["job", "user"], [], []),
+    ("contact_job_relationship", ["job", "contact"], [], []),
+    ("task", [], ["contact", "job"], ["user"]),
+    ("appointment", [], ["contact", "job"], ["user"]),
+    ("note", [], ["contact", "job"], ["user"]),
+    ("activity", [], ["contact", "job"], ["user"]),
+    ("document", [], ["job", "contact"], []),
+    ("image", [], ["job", "contact"], []),
+    ("attachment", [], ["job", "contact", "note"], []),
+]
 
 
 def plan_rows() -> list[str]:
     out = []
-    for n, line in enumerate(ENTITIES.split(";"), 1):
-        entity, *deps = line.split("|")
-        rows = [(kind, d) for kind, some in zip(("requires", "any", "enriched"), deps) for d in some.split(",") if d]
+    for n, (entity, *deps) in enumerate(ENTITIES, 1):
+        rows = [(kind, d) for kind, some in zip(("requires", "any", "enriched"), deps) for d in some]
         out += [f"('{entity}', {n}, '{kind}', '{d}')" for kind, d in rows] or [f"('{entity}', {n}, NULL, NULL)"]
     return out
 

@@ -52,6 +52,24 @@ def test_redaction(spark):
 def test_rejected_files(spark):
     from crossload.operators import records as r
 
-    df = spark.createDataFrame([("a.deb", 1, None), ("a.RPM", 1, None), ("a.hta", 1, "text/html"), ("a.txt", 1, "chemical/x"), ("a.txt", 0, "Text/plain"), ("a", 2**30, None)], "n string, s long, k string")
+    df = spark.createDataFrame([("a.deb", 1, None), ("a.RPM", 1, None), ("a.hta", 1, "text/html"), ("a.txt", 1, "chemical/x"), ("a.txt", 0, "text/plain"), ("a", 2**30, None), ("a.txt", 1, "Text/plain"), ("a.txt", 1, "")], "n string, s long, k string")
     got = [x[0] for x in df.select(r.rejection(F.col("n"), F.col("s"), F.col("k"))).collect()]
-    assert got == ["blocked_extension", "blocked_extension", None, "blocked_kind", "empty", "too_large"]
+    assert got == ["blocked_extension", "blocked_extension", None, "blocked_kind", "empty", "too_large", "blocked_kind", None]
+
+
+def test_written_out_dates(spark):
+    from crossload.functions import normalize as n
+
+    want = {
+        "Jan 5, 2024": "2024-01-05", "January 5, 2024": "2024-01-05", "5 Jan 2024": "2024-01-05", "2024/01/05": "2024-01-05", "2024-01": "2024-01-01", "2024-01-05T10:00:00Z": "2024-01-05",
+        "13/45/2024": "2025-02-14", "Feb 30, 2024": None, "Jan 5": None, "2024/13/01": None, "March 1 1900": None, "": None, "soon": None}
+    df = spark.createDataFrame([(k,) for k in want], "c string").select("c", F.date_format(n.timestamp(F.col("c")), "yyyy-MM-dd").alias("d"))
+    assert {r.c: r.d for r in df.collect()} == want
+
+
+def test_name_keys_of_many_languages(spark):
+    from crossload.functions import normalize as n
+
+    want = {"Nguyễn": "nguyen", "Ệ": "e", "José-María O’Brien": "josemaria obrien", "Łukasz": "ukasz", "ß": None, "Ġorġ": "gorg"}
+    df = spark.createDataFrame([(k,) for k in want], "c string").select("c", n.name_key(F.col("c")).alias("d"))
+    assert {r.c: r.d for r in df.collect()} == want
