@@ -10,6 +10,7 @@ from ..operators import idempotency as i
 from ..operators import matching as m
 from ..operators import records as r
 from ..operators import sink
+from ..sources import ledgers
 from ..sources.folders import new_folder, written
 from ..sources.inputs import read
 from ..streaming import inbox
@@ -203,6 +204,18 @@ def error_ledger(spark, d):
     return read(spark, d, "ledger").where("state = 'FAILED'").select("source_id", "entity", message.alias("message"))
 
 
+@query("SELECT source_id, entity, error_code AS code, substr('error in ' || coalesce(error_code, '-') || repeat('.', 5000), 1, 4000) AS message, run_id FROM ledger, (VALUES ('first'), ('second')) v(run_id) WHERE state = 'FAILED' AND (run_id = 'first' OR open)")
+def error_log(spark, d):
+    """Errors of two runs in one ledger; the second run is written twice, as after a failure, and stands there once."""
+    folder = new_folder(spark, "errors")
+    message = F.concat(F.lit("error in "), F.coalesce("error_code", F.lit("-")), F.repeat(F.lit("."), F.lit(5000)))
+    failed = read(spark, d, "ledger").where("state = 'FAILED'").select("source_id", "entity", C("error_code").alias("code"), message.alias("message"), "open")
+    ledgers.append(failed, folder, "first")
+    for _ in range(2):
+        ledgers.append(failed.where("open"), folder, "second")
+    return ledgers.read(spark, folder)
+
+
 # Reading and landing
 
 @query("SELECT id, 'contact' AS entity, sha256(coalesce(full_name, '')) AS digest, TIMESTAMP '2024-05-01 00:00:00' AS expires FROM raw_contact")
@@ -751,6 +764,40 @@ def manifest(spark, d):
     return rows(grand_totals(spark, d), "totals").join(rows(disclosures(spark, d), "disclosures")).join(rows(file_counts(spark, d), "files"))
 
 
+WAITING = "SELECT migration_id, count(*) AS n FROM decision WHERE status = 'OPEN' GROUP BY migration_id"
+OUTSTANDING = (f"SELECT migration_id, step || ': ' || reason AS action FROM ({REASONS}) a UNION ALL SELECT migration_id, n || ' possible duplicates are held for review' FROM ({WAITING}) b "
+               f"UNION ALL SELECT migration_id, failed || ' records failed and can be retried' FROM ({TOTAL}) c WHERE failed > 0 UNION ALL SELECT migration_id, failed || ' files failed and can be retried' FROM ({PER_FILES}) d WHERE failed > 0")
+
+
+@query(OUTSTANDING)
+def outstanding_actions(spark, d):
+    """What is left to do for each migration."""
+    row = lambda df, *text: df.select("migration_id", F.concat(*[C(t[1:]) if t.startswith("=") else F.lit(t) for t in text]).alias("action"))
+    waiting = read(spark, d, "decision").where("status = 'OPEN'").groupBy("migration_id").agg(F.count("*").alias("n"))
+    failed = r.state_counts(read(spark, d, "ledger"), "migration_id").where("failed > 0")
+    return (
+        row(blocking_reasons(spark, d), "=step", ": ", "=reason").unionByName(row(waiting, "=n", " possible duplicates are held for review"))
+        .unionByName(row(failed, "=failed", " records failed and can be retried"))
+        .unionByName(row(file_counts_by_migration(spark, d).where("failed > 0"), "=failed", " files failed and can be retried")))
+
+
+@query(f"SELECT t.migration_id, t.discovered, t.created + t.updated + t.merged + t.skipped AS in_destination, e.entities, coalesce(f.uploaded, 0) AS files_uploaded, coalesce(f.size_verified + f.unverified, 0) AS files_partly_verified, coalesce(o.actions, 0) AS actions, "
+       f"NOT EXISTS (SELECT 1 FROM ({REASONS}) x WHERE x.migration_id = t.migration_id) AS passed FROM ({TOTAL}) t JOIN (SELECT migration_id, string_agg(entity || '=' || n, ',' ORDER BY entity) AS entities FROM "
+       f"(SELECT migration_id, entity, count(*) AS n FROM ledger GROUP BY 1, 2) y GROUP BY 1) e ON e.migration_id = t.migration_id LEFT JOIN ({PER_FILES}) f ON f.migration_id = t.migration_id LEFT JOIN (SELECT migration_id, count(*) AS actions FROM ({OUTSTANDING}) z GROUP BY 1) o ON o.migration_id = t.migration_id")
+def manifests(spark, d):
+    """A row for each migration: totals, entities (of which there are few), files, actions left, and whether it passed."""
+    totals = r.state_counts(read(spark, d, "ledger"), "migration_id")
+    lines = read(spark, d, "ledger").groupBy("migration_id", "entity").agg(F.count("*").alias("n")).groupBy("migration_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat("entity", F.lit("="), "n"))), ",").alias("entities"))
+    files = file_counts_by_migration(spark, d).select("migration_id", C("uploaded").alias("files_uploaded"), (C("size_verified") + C("unverified")).alias("files_partly_verified"))
+    left = outstanding_actions(spark, d).groupBy("migration_id").agg(F.count("*").alias("actions"))
+    blocked = blocking_reasons(spark, d).select("migration_id").distinct().withColumn("blocked", F.lit(True))
+    whole = totals.join(lines, "migration_id").join(files, "migration_id", "left").join(left, "migration_id", "left").join(blocked, "migration_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return whole.select(
+        "migration_id", "discovered", (C("created") + C("updated") + C("merged") + C("skipped")).alias("in_destination"), "entities", zero("files_uploaded"), zero("files_partly_verified"), zero("actions"), C("blocked").isNull().alias("passed"))
+
+
 @query(f"SELECT t.migration_id, t.discovered, t.in_flight, l.open_errors FROM ({TOTAL}) t JOIN ({LEFT}) l ON t.migration_id = l.migration_id")
 def status_panel(spark, d):
     return r.state_counts(read(spark, d, "ledger"), "migration_id").select("migration_id", "discovered").join(left_over(spark, d), "migration_id").select("migration_id", "discovered", "in_flight", "open_errors")

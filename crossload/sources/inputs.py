@@ -152,6 +152,14 @@ SELECT DISTINCT migration_id, entity FROM {ledger} WHERE migration_id <> 'M4' AN
     "capability": (["region", "entity_plan"], """
 SELECT CAST(r_regionkey AS STRING) AS platform, entity, CASE (r_regionkey * 5 + ord) % 4 WHEN 0 THEN 'false' WHEN 1 THEN 'conditional' ELSE 'true' END AS level
 FROM {region} CROSS JOIN (SELECT DISTINCT entity, ord FROM {entity_plan}) e WHERE (r_regionkey + ord) % 9 <> 0"""),
+    "full_contact": (["raw_contact"], """
+SELECT *, CASE WHEN k % 4 = 0 THEN concat(' Second', CAST(k AS STRING), '@Mail.example ') WHEN k % 4 = 1 THEN 'no address' END AS secondary_email,
+  CASE WHEN k % 7 <> 0 THEN concat('Town ', CAST(k % 5 AS STRING)) END AS city, CASE WHEN k % 6 = 0 THEN ' ' ELSE ' Web  form' END AS lead_source,
+  CASE WHEN k % 3 = 0 THEN '2023-07-01 10:00:00' WHEN k % 3 = 1 THEN 'never' END AS modified FROM {raw_contact}"""),
+    "full_job": (["raw_job"], """
+SELECT *, concat('N-', CAST(k AS STRING)) AS job_number, CASE WHEN k % 5 <> 0 THEN concat(' Roof  ', CAST(k AS STRING)) ELSE '' END AS name, CASE WHEN k % 9 <> 0 THEN concat(CAST(k AS STRING), ' Elm Rd') END AS street,
+  CAST(NULL AS STRING) AS city, 'ohio' AS region, CASE WHEN k % 2 = 0 THEN '12345' END AS zip, 'Repair' AS job_type, CASE WHEN k % 4 = 0 THEN '1/31/2023' END AS start_text, CASE WHEN k % 8 = 0 THEN '45000' END AS done_text,
+  'A;b, a' AS tags FROM {raw_job}"""),
     "raw_payload": (["raw_note"], """
 SELECT k, replace(replace(concat('< "id" : ', CAST(k AS STRING), ', "token":"', token, '","note": <"Header": "', header, '", "list":[ <"api_key": [1, <"x":2>], "amount": 1.50>, "Basic dXNlcg==", "plain ',
     CAST(k % 10 AS STRING), '", null],"deep":<"a":<"b":<"sessionId":<"v":true>,"ok":"é">>>>>'), '<', chr(123)), '>', chr(125)) AS payload,

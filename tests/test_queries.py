@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from crossload.operators import matching
-from crossload.plans import migration, writing  # noqa: F401  writing adds its queries
+from crossload.plans import migration, shapes, writing  # noqa: F401  they add their queries
 from crossload.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +13,7 @@ def test_oracle(spark, name):
     got = q.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
     con = duckdb.connect()
-    for t in ("region", "nation", "supplier", "customer", "orders", "lineitem", "events", "documents", "conversations", "benchmark"):
+    for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "conversations", "benchmark"):
         con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     want = con.sql(f"select {','.join(cols)} from ({q.SQL[name]}) t").fetchall()
     plain = lambda rows: sorted(tuple(map(str, r)) for r in rows)
