@@ -1,20 +1,21 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are folded (lower case, without marks at their ends). Each test item's N-word seeds are
-joined to the n-grams of the documents; the seed hits of a document and an item give windows of
-the document, each as wide as the item and a quarter more, and every window is aligned with the
-whole item by words. The score is the best local alignment over that of the item with itself,
-so edited and reordered copies score high and chance seeds low. Items with under N words are one
-seed. Seeds that more than MAX_SHARE of the items hold are common phrasing, not rare, and only
-serve items that have no other.
+looked up in all n-grams of the documents. How rare a seed is, is counted over the whole corpus: a hit is
+worth the logarithm of how many n-grams there are to one of its kind. Hits of a document and an item
+on near diagonals (whose places differ alike) add up, and where they are worth as many bits as the corpus has places
+(so that chance gives about one such window for a seed, at any size), or SHARE of all bits of the item's
+seeds, a window of the document around them is aligned with the whole item by words. So one rare seed or several
+common ones lead to an alignment, and copies are found that keep no long run of words. The score is the best local alignment over that of the item with itself,
+so edited copies score high and chance seeds low. Items with under N words are one seed.
 
-Benchmark tables are small beside the corpus. Their seeds are broadcast only below
-BROADCAST_SEEDS; above it the n-grams of the documents are shuffled to them instead.
+Benchmark tables are small beside the corpus. What is broadcast of their seeds is counted first: up to
+BROADCAST_SEEDS rows; beyond, the n-grams of the documents are shuffled to them instead.
 
 Null, empty or wordless documents and items match nothing. Repeated rows match alike; of equal
-scores the smallest item_id wins. A row without a doc_id is named by a hash of its text. Very long texts
-are read whole, in one row's memory. Empty tables give empty results. Other columns are not read, and
-the stage keeps them, whatever their names.
+scores the smallest item_id wins. A row without a doc_id is compared, and its doc_id stays null; items without an id
+are one item. Very long texts are read whole, in one row's memory. Empty tables give empty results. Other columns are not
+read, and the stage keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, settle, table
+from .common import drop, free, settle, table
 
-N = 5
-MAX_SHARE = 0.25
+N = 3
+SHARE = 0.3
 BROADCAST_SEEDS = 2_000_000
+BROADCAST_WINDOWS = 100_000
 LEAK = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 TOKEN = re.compile(r"\w+(?:['’-]\w+)*")
@@ -41,18 +43,18 @@ def words(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def hashes(text: str | None, n: int) -> np.ndarray:
-    """The hash of each word n-gram in order; a shorter text is one gram."""
+def word_hashes(text: str | None) -> np.ndarray:
     import xxhash
 
     w = words(text)
-    if not w:
-        return np.zeros(0, "int64")
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), "uint64", len(w))
-    wide = min(n, len(h))
-    m = len(h) - wide + 1
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, w), "uint64", len(w))
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each n-gram of words in order; none if there are fewer words."""
+    m = max(len(h) - n + 1, 0)
     x = h[:m]
-    for k in range(1, wide):
+    for k in range(1, n):
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + m]
     return (x ^ (x >> np.uint64(31))).view("int64")
 
@@ -72,54 +74,85 @@ def align(doc: np.ndarray, item: np.ndarray) -> int:
 
 
 def seeds(items: DataFrame, n: int = N) -> DataFrame:
-    """h, item_id, at, size: where each item's rare grams stand in it."""
+    """h, wide (its number of words), item_id, at, size: where each item's grams stand in it."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(int(h), i, k, len(words(t))) for i, t in zip(p["item_id"], p["text"]) for k, h in enumerate(hashes(t, n))]
-            yield pd.DataFrame(rows, columns=["h", "item_id", "at", "size"])
+            rows = []
+            for i, t in zip(p["item_id"].astype(object), p["text"]):
+                h = word_hashes(t)
+                wide = min(n, len(h))
+                rows += [(int(x), wide, i, k, len(h)) for k, x in enumerate(grams(h, wide) if wide else ())]
+            yield pd.DataFrame(rows, columns=["h", "wide", "item_id", "at", "size"], dtype=object).astype({"h": "int64", "wide": "int32", "item_id": "Int64", "at": "int32", "size": "int32"})
 
-    every = items.select("item_id", "text").mapInPandas(run, "h long, item_id long, at int, size int")
-    share = every.groupBy("h").agg(F.countDistinct("item_id").alias("held"))
-    total = items.select("item_id").distinct().count()
-    marked = every.join(share, "h").withColumn("rare", F.col("held") <= max(1.0, MAX_SHARE * total))
-    has = marked.groupBy("item_id").agg(F.max("rare").alias("any"))
-    return marked.join(has, "item_id").where("rare or not any").select("h", "item_id", "at", "size")
+    return items.select("item_id", "text").mapInPandas(run, "h long, wide int, item_id long, at int, size int")
 
 
 def hits(docs: DataFrame, known: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, sig, item_id, lo, hi: the windows of a document around its seed hits."""
-    spark = docs.sparkSession
+    """row, h, pos: where seeds stand in the documents (row names a text); and a row without h for each part of the
+    corpus, with its number of words as pos."""
     few = known.select("h").distinct()
+    widths = sorted(r[0] for r in known.select("wide").distinct().collect()) or [n]  # n, and less where items are shorter
     small = few.count() <= BROADCAST_SEEDS
-    wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in few.collect()], "int64")) if small else None)
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in few.collect()], "int64")) if small else None)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
         for p in parts:
-            rows = []
-            for doc, sig, text in zip(p["doc_id"], p["sig"], p["text"]):
-                h = hashes(text, n)
-                at = np.arange(len(h))
-                if (some := wanted.value) is not None:
-                    at = np.flatnonzero(some[np.searchsorted(some, h).clip(max=len(some) - 1)] == h) if len(some) else at[:0]
-                rows += [(doc, sig, int(h[k]), int(k)) for k in at]
-            yield pd.DataFrame(rows, columns=["doc_id", "sig", "h", "pos"])
-
-    found = docs.mapInPandas(run, "doc_id long, sig long, h long, pos int")
-    side = F.broadcast(known) if small else known
+            rows, hs, at_all = [], [], []
+            for row, text in zip(p["row"], p["text"]):
+                own = word_hashes(text)
+                total += len(own)
+                for wide in widths:
+                    h = grams(own, wide)
+                    at = np.arange(len(h))
+                    if (some := wanted.value) is not None:
+                        at = np.flatnonzero(some[np.searchsorted(some, h).clip(max=len(some) - 1)] == h) if len(some) else at[:0]
+                    rows.append(np.full(len(at), row, "int64"))
+                    hs.append(h[at])
+                    at_all.append(at)
+            if rows:
+                yield pd.DataFrame({"row": np.concatenate(rows), "h": pd.array(np.concatenate(hs), "Int64"), "pos": np.concatenate(at_all).astype("int64")})
+        yield pd.DataFrame({"row": [0], "h": pd.array([None], "Int64"), "pos": [total]})
+
+    found = docs.mapInPandas(run, "row long, h long, pos long")
+    return found if small else found.join(few, "h", "left_semi").unionByName(found.where("h is null"))
+
+
+def windows(found: DataFrame, known: DataFrame) -> DataFrame:
+    """row, item_id, windows of the documents where the hits on near diagonals are worth an alignment."""
+    total = found.where("h is null").agg(F.sum("pos")).first()[0] or 0
+    often = found.where("h is not null").groupBy("h").agg(F.count("*").alias("often"))
+    bits = F.log2(F.lit(float(max(total, 1))) / F.col("often")) + 1.0
+    weighed = settle(known.join(often, "h").select("h", "item_id", "at", "size", bits.alias("bits")))
+    # of the seeds that the corpus lacks nothing is known; they are worth no less than any other
+    most = known.groupBy("item_id").agg(F.count("*").alias("n"))
+    have = weighed.groupBy("item_id").agg(F.sum("bits").alias("bits"), F.count("*").alias("met"))
+    lacking = F.log2(F.lit(float(max(total, 2)))) + 1.0
+    need = have.join(most, have["item_id"].eqNullSafe(most["item_id"])).select(
+        have["item_id"], F.least(F.log2(F.lit(float(max(total, 2)))), SHARE * (F.col("bits") + (F.col("n") - F.col("met")) * lacking)).alias("need"))
+    side = weighed.alias("k").join(need.alias("i"), F.col("k.item_id").eqNullSafe(F.col("i.item_id"))).select("k.*", "need")
+    if weighed.count() <= BROADCAST_SEEDS:
+        side = F.broadcast(side)
     room = (F.col("size") / 4).cast("int") + 4
-    return (
-        found.join(side, "h")
-        .select("doc_id", "sig", "item_id", (F.col("pos") - F.col("at") - room).alias("lo"), (F.col("pos") - F.col("at") + F.col("size") + room).alias("hi"))
-        .groupBy("doc_id", "sig", "item_id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("windows"))
-    )
+    # bands of diagonals as wide as twice the room, each hit in the two that overlap there
+    each = found.where("h is not null").join(side, "h").select("row", "item_id", "size", "need", "bits", room.alias("room"), (F.col("pos") - F.col("at")).alias("diagonal"))
+    band = F.floor(F.col("diagonal") / F.col("room"))
+    sums = each.select("*", F.explode(F.array(band, band - 1)).alias("band")).groupBy("row", "item_id", "band").agg(
+        F.sum("bits").alias("bits"), F.first("need").alias("need"), F.first("size").alias("size"), F.first("room").alias("room"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    span = F.struct((F.col("low") - F.col("room")).alias("lo"), (F.col("high") + F.col("size") + F.col("room")).alias("hi"))
+    return sums.where(F.col("bits") >= F.col("need")).groupBy("row", "item_id").agg(F.array_sort(F.collect_set(span)).alias("windows"))
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, sig, item_id, score for every document and item that share a rare seed."""
+    """doc_id, sig (a hash of the text), item_id, score for every document and item that share seeds enough."""
     sig = F.xxhash64("text")
-    own = docs.select(F.coalesce("doc_id", sig).alias("doc_id"), "text", sig.alias("sig")).where("text is not null").dropDuplicates(["doc_id", "sig"])
-    near = settle(hits(own, settle(seeds(items, n)), n))
+    own = docs.select("doc_id", "text", sig.alias("sig"), F.xxhash64(F.col("doc_id").isNull(), "doc_id", sig).alias("row")).where("text is not null")
+    known = settle(seeds(items, n))
+    found = settle(hits(own, known, n))
+    # repeated rows hit alike: each place counts once
+    near = settle(windows(found, known))
+    drop(found, shuffles=False)
     tests = items.select("item_id", F.col("text").alias("item")).groupBy("item_id").agg(F.max("item").alias("item"))
 
     @F.pandas_udf("double")
@@ -141,10 +174,10 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
                 out.append(max(align(doc[a:b], ids) for a, b in merged) / (MATCH * len(ids)))
             yield pd.Series(out, dtype="float64")
 
-    return (
-        near.join(own, ["doc_id", "sig"]).join(tests, "item_id")
-        .select("doc_id", "sig", "item_id", measure("text", "item", "windows").alias("score"))
-    )
+    # few windows go to the texts, so that no text is shuffled; more are joined by hash
+    pairs = own.join(F.broadcast(near) if near.count() <= BROADCAST_WINDOWS else near, "row")
+    named = pairs.alias("p").join(tests.alias("t"), F.col("p.item_id").eqNullSafe(F.col("t.item_id")))
+    return named.select("doc_id", "sig", "p.item_id", measure("text", "item", "windows").alias("score")).dropDuplicates(["doc_id", "sig", "item_id"])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
