@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import free, settle, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -172,20 +172,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
 
     Pieces should be a written table: they are read twice."""
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("length", "__b").agg(F.count("*").alias("n"))
+    b, before_c, k, rank_c, at_c = (free(pieces, c) for c in ("b", "before", "k", "rank", "at"))
+    dealt = pieces.withColumn(b, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    counts = dealt.groupBy("length", b).agg(F.count("*").alias("n"))
     by_length = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most CAPACITY rows
     plan = sorted(best_fit({r["length"]: r["n"] for r in by_length}, capacity))
     shared = spark.sparkContext.broadcast(np.array(plan, dtype="int64").reshape(-1, 5))
     before = counts.select(
-        "length", "__b",
-        (F.sum("n").over(Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__before"),
+        "length", b,
+        (F.sum("n").over(Window.partitionBy("length").orderBy(b).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias(before_c),
     )
     ranked = (
-        dealt.withColumn("__k", F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece")))
-        .join(before, ["length", "__b"])
-        .withColumn("__rank", F.col("__before") + F.col("__k") - 1)
-        .select(*pieces.columns, "__rank")
+        dealt.withColumn(k, F.row_number().over(Window.partitionBy("length", b).orderBy("doc_id", "piece")))
+        .join(before, ["length", b])
+        .withColumn(rank_c, F.col(before_c) + F.col(k) - 1)
+        .select(*pieces.columns, rank_c)
     )
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -204,9 +205,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
             yield pd.DataFrame({"sequence_id": p[at, 3] + r - p[at, 1], "offset": p[at, 4]})
 
     return (
-        ranked.withColumn("__at", find("length", "__rank"))
-        .withColumns({"sequence_id": F.col("__at.sequence_id"), "offset": F.col("__at.offset")})
-        .drop("__at", "__rank")
+        ranked.withColumn(at_c, find("length", rank_c))
+        .withColumns({"sequence_id": F.col(at_c)["sequence_id"], "offset": F.col(at_c)["offset"]})
+        .drop(at_c, rank_c)
     )
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 MAX_RULES = 1_000_000
 RULES = [
@@ -87,12 +87,13 @@ def filter_urls(pages: DataFrame, rules=None, url: str = "url", default: str = "
     # fixed pattern: the parts of a url after the first "://"
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     part = lambda k: F.coalesce(F.regexp_extract(F.col(url), pattern, k), F.lit(""))
+    got = free(pages, "got")
     host = F.translate(part(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return (
         pages.withColumns({"host": host, "path": part(2)})
-        .withColumn("__got", decide(F.struct("host", "path")))
-        .withColumns({"rule": F.col("__got.rule"), "verdict": F.coalesce("__got.verdict", F.lit(default))})
-        .drop("__got")
+        .withColumn(got, decide(F.struct("host", "path")))
+        .withColumns({"rule": F.col(got)["rule"], "verdict": F.coalesce(F.col(got)["verdict"], F.lit(default))})
+        .drop(got)
     )
 
 
