@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 # Tool to fields: name to (Spark type, required).
-KINDS = {"string": ["STRING"], "bigint": ["BIGINT"], "double": ["DOUBLE", "BIGINT"], "boolean": ["BOOLEAN"]}
+KINDS = {"string": "STRING", "bigint": "BIGINT", "double": r"DOUBLE|BIGINT|DECIMAL\(.*\)", "boolean": "BOOLEAN"}  # patterns of a JSON value's types
 SCHEMAS = {
     "answer": {"question": ("string", True), "turn": ("bigint", True)},
     "reply": {"question": ("string", True), "turn": ("bigint", True), "style": ("string", False)},
@@ -59,7 +59,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict | None = None
         ok = F.size(F.array_except(F.coalesce(F.json_object_keys("arguments"), F.array(F.lit(""))), F.array(*map(F.lit, fields)))) == 0
         for k, (kind, required) in fields.items():
             given = F.coalesce(F.schema_of_variant(F.try_variant_get(read, f"$.{k}", "variant")), F.lit("VOID"))
-            ok = ok & (given.isin(*KINDS[kind]) if required else given.isin("VOID", *KINDS[kind]))
+            ok = ok & given.rlike(f"^(?:{KINDS[kind]}{'' if required else '|VOID'})$")
         valid = F.when(F.col("tool") == tool, ok).otherwise(valid)
     linked = (
         calls.join(depths(calls).hint("shuffle_hash"), "call_id").withColumn("called", F.lit(True)).join(results, "call_id", "full")
