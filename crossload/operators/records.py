@@ -71,6 +71,18 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, keep: list[str]) -
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*pick)
 
 
+def upsert_by(current: DataFrame, incoming: DataFrame, key: str, keep: list[str], by: str) -> DataFrame:
+    """upsert() of a table with created_by and updated_by: a new record was created by the one that incoming names in
+    by, one that was there keeps its creator and is updated by it."""
+    a, b = current.alias("a"), incoming.alias("b")
+    here, sent = F.col(f"a.{key}").isNotNull(), F.col(f"b.{key}").isNotNull()
+    own = [c for c in current.columns if c not in ("created_by", "updated_by")]
+    pick = [(F.coalesce(f"a.{c}", f"b.{c}") if c in [key, *keep] else F.when(sent, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))).alias(c) for c in own]
+    created = F.when(here, F.col("a.created_by")).otherwise(F.col(f"b.{by}")).alias("created_by")
+    updated = F.when(here & sent, F.col(f"b.{by}")).otherwise(F.col("a.updated_by")).alias("updated_by")
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*pick, created, updated)
+
+
 def state_counts(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(
         F.count("*").alias("discovered"), *[F.count_if(F.col("state") == s).alias(s.lower()) for s in ACCOUNTED],

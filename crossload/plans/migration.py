@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
+from ..operators import forms
 from ..operators import idempotency as i
 from ..operators import matching as m
 from ..operators import records as r
@@ -14,7 +15,7 @@ from ..sources import ledgers
 from ..sources.folders import new_folder, written
 from ..sources.inputs import read
 from ..streaming import inbox
-from .queries import CENTS, EMAIL, FLIGHT, KEYED, NAME, PHONE, POSTAL, STATE, STREET, C, column, query
+from .queries import CENTS, DATE_OF, EMAIL, FLIGHT, KEYED, NAME, PHONE, POSTAL, STATE, STREET, C, column, query
 
 AS_OF = "2024-02-01 00:00:00"
 DONE = "('CREATED', 'UPDATED', 'MERGED', 'SKIPPED', 'FAILED', 'UNSUPPORTED')"
@@ -26,10 +27,17 @@ def lit_time(text: str = AS_OF):
 
 # Normalising
 
+def packed(column, signs, rule, good):
+    """SQL of a packed cell: its parts by a rule over x, those that are good, each once in the order of the first."""
+    parts = f"SELECT unnest(regexp_split_to_array({column}, '{signs}')) AS x, unnest(range(len(regexp_split_to_array({column}, '{signs}')))) AS pos"
+    return f"(SELECT string_agg(v, ';' ORDER BY pos) FROM (SELECT v, min(pos) AS pos FROM (SELECT {rule} AS v, pos FROM ({parts}) a) b WHERE {good} GROUP BY v) c)"
+
+
+ONE_PHONE = PHONE.replace("phone", "x")
 column("norm_emails", "raw_user", lambda: F.array_join(n.emails(C("emails")), ";"),
-       "CASE WHEN emails IS NOT NULL THEN concat('u', CAST(k AS STRING), '@mail.example') END || ';second' || CAST(k AS STRING) || '@mail.example'")
+       packed("emails", "[;,|]", "regexp_replace(lower(trim(x)), '^mailto:', '')", r"regexp_matches(v, '^[^\s@,;]+@[^\s@,;]+\.[^\s@,;]+$')"))
 column("norm_phones", "raw_user", lambda: F.array_join(n.phones(C("phones")), ";"),
-       "concat('+1555', lpad(CAST(2000000 + k % 7000000 AS STRING), 7, '0'), ';+1555', lpad(CAST(3000000 + k % 6000000 AS STRING), 7, '0'))")
+       packed("phones", "[;,|/]", f"CASE WHEN NOT regexp_matches(regexp_replace(x, '\\D', '', 'g'), '^0*$') AND length(regexp_replace(x, '\\D', '', 'g')) BETWEEN 7 AND 15 THEN {ONE_PHONE} END", "v IS NOT NULL"))
 column("norm_boolean", "raw_user", lambda: n.boolean(C("active_text")),
        "CASE WHEN lower(active_text) IN ('true', 't', 'yes', 'y', '1', 'on', 'active', 'enabled') THEN true "
        "WHEN lower(active_text) IN ('false', 'f', 'no', 'n', '0', 'off', 'inactive', 'disabled') THEN false END")
@@ -146,7 +154,7 @@ def validate_contact(spark, d):
     return read(spark, d, "raw_contact").select("id", issues.alias("issues")).where("issues <> ''")
 
 
-@query("SELECT id, 'INVALID_DATE' AS code FROM raw_contact WHERE k % 8 IN (5, 6) UNION ALL SELECT id, 'NO_CONTACT_METHOD' FROM raw_contact WHERE email IS NULL AND phone IS NULL "
+@query("SELECT id, 'INVALID_DATE' AS code FROM raw_contact WHERE created IS NOT NULL AND " + DATE_OF.format("created") + " IS NULL UNION ALL SELECT id, 'NO_CONTACT_METHOD' FROM raw_contact WHERE email IS NULL AND phone IS NULL "
        "UNION ALL SELECT id, 'JOB_WITHOUT_CONTACT' FROM raw_job WHERE contact_id IS NULL")
 def dq_warnings(spark, d):
     people = read(spark, d, "raw_contact").select("id", F.explode(F.array_compact(F.array(
@@ -155,14 +163,14 @@ def dq_warnings(spark, d):
     return people.unionByName(read(spark, d, "raw_job").where("contact_id is null").select("id", F.lit("JOB_WITHOUT_CONTACT").alias("code")))
 
 
-@query("SELECT id, 'HISTORY_UNDATED' AS code FROM raw_note WHERE created IS NULL AND body NOT LIKE '[2021-03-14%' UNION ALL SELECT id, 'INVALID_DATE' FROM raw_contact WHERE k % 8 IN (5, 6) "
+@query("SELECT id, 'HISTORY_UNDATED' AS code FROM raw_note WHERE created IS NULL AND body NOT LIKE '[2021-03-14%' UNION ALL SELECT id, 'INVALID_DATE' FROM raw_contact WHERE created IS NOT NULL AND " + DATE_OF.format("created") + " IS NULL "
        "UNION ALL SELECT id, 'NO_CONTACT_METHOD' FROM raw_contact WHERE email IS NULL AND phone IS NULL UNION ALL SELECT id, 'JOB_WITHOUT_CONTACT' FROM raw_job WHERE contact_id IS NULL")
 def all_warnings(spark, d):
     undated = read(spark, d, "raw_note").where(C("created").isNull() & ~C("body").rlike(i.STAMP)).select("id", F.lit("HISTORY_UNDATED").alias("code"))
     return undated.unionByName(dq_warnings(spark, d))
 
 
-@query("SELECT code, count(*) AS n FROM (SELECT 'INVALID_DATE' AS code FROM raw_contact WHERE k % 8 IN (5, 6) UNION ALL SELECT 'NO_CONTACT_METHOD' FROM raw_contact WHERE email IS NULL AND phone IS NULL "
+@query("SELECT code, count(*) AS n FROM (SELECT 'INVALID_DATE' AS code FROM raw_contact WHERE created IS NOT NULL AND " + DATE_OF.format("created") + " IS NULL UNION ALL SELECT 'NO_CONTACT_METHOD' FROM raw_contact WHERE email IS NULL AND phone IS NULL "
        "UNION ALL SELECT 'JOB_WITHOUT_CONTACT' FROM raw_job WHERE contact_id IS NULL UNION ALL SELECT 'HISTORY_UNDATED' FROM raw_note WHERE created IS NULL AND body NOT LIKE '[2021-03-14%') t GROUP BY code")
 def warning_summary(spark, d):
     return all_warnings(spark, d).groupBy("code").agg(F.count("*").alias("n"))
@@ -171,9 +179,13 @@ def warning_summary(spark, d):
 STATUS = "CASE k % 9 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 409 WHEN 4 THEN 422 WHEN 5 THEN 429 WHEN 6 THEN 503 END"
 
 
-@query(f"SELECT source_id, entity, code, code IN ('RATE_LIMIT', 'DESTINATION_API_ERROR', 'SOURCE_TIMEOUT', 'UNKNOWN_ERROR') AS retryable FROM (SELECT source_id, entity, CASE k % 9 WHEN 0 THEN 'AUTHENTICATION_ERROR' "
-       "WHEN 1 THEN 'PERMISSION_ERROR' WHEN 2 THEN 'SOURCE_NOT_FOUND' WHEN 3 THEN 'DUPLICATE_CONFLICT' WHEN 4 THEN 'VALIDATION_ERROR' WHEN 5 THEN 'RATE_LIMIT' WHEN 6 THEN 'DESTINATION_API_ERROR' "
-       "WHEN 7 THEN 'SOURCE_TIMEOUT' ELSE 'UNKNOWN_ERROR' END AS code FROM ledger WHERE state = 'FAILED') t")
+CODE = ("CASE WHEN status = 401 THEN 'AUTHENTICATION_ERROR' WHEN status = 403 THEN 'PERMISSION_ERROR' WHEN status = 404 THEN 'SOURCE_NOT_FOUND' WHEN status = 409 THEN 'DUPLICATE_CONFLICT' "
+        "WHEN status = 422 THEN 'VALIDATION_ERROR' WHEN status = 429 THEN 'RATE_LIMIT' WHEN status >= 500 THEN 'DESTINATION_API_ERROR' "
+        "WHEN errno IN ('ETIMEDOUT', 'ECONNRESET', 'ECONNREFUSED', 'ENOTFOUND', 'EAI_AGAIN', 'UND_ERR_CONNECT_TIMEOUT') THEN 'SOURCE_TIMEOUT' ELSE 'UNKNOWN_ERROR' END")
+RETRY = ", ".join(f"'{c}'" for c, again, _ in i.PROFILES if again)
+
+
+@query(f"SELECT source_id, entity, code, code IN ({RETRY}) AS retryable FROM (SELECT source_id, entity, {CODE} AS code FROM (SELECT *, {STATUS} AS status, CASE WHEN k % 9 = 7 THEN 'ECONNRESET' ELSE 'EODD' END AS errno FROM ledger WHERE state = 'FAILED') a) b")
 def classify_errors(spark, d):
     errno = F.when(C("k") % 9 == 7, "ECONNRESET").otherwise("EODD")
     code = i.classify(F.expr(STATUS), errno)
@@ -192,10 +204,20 @@ def error_profiles(spark, d):
     return found.join(table, "error_code", "left").select("error_code", "entity", "n", F.coalesce("retryable", F.lit(False)).alias("retryable"), F.coalesce("customer", F.lit(False)).alias("needs_customer"))
 
 
-@query("SELECT l.source_id, l.entity, CASE WHEN l.entity IN ('contact') THEN l.state ELSE 'UNSUPPORTED' END AS state FROM ledger l")
+WRITERS = ", ".join(f"'{e}'" for e in forms.FORMS)
+
+
+@query(f"SELECT migration_id, entity, CASE WHEN entity IN ({WRITERS}) THEN 'DISCOVERED' ELSE 'UNSUPPORTED' END AS state FROM selection")
+def unsupported_entities(spark, d):
+    """Records of entities that the destination has no form for are unsupported, all of them."""
+    writers = F.broadcast(spark.createDataFrame([(e, True) for e in forms.FORMS], "entity string, writes boolean"))
+    return read(spark, d, "selection").join(writers, "entity", "left").select("migration_id", "entity", F.when(C("writes"), "DISCOVERED").otherwise("UNSUPPORTED").alias("state"))
+
+
+@query(f"SELECT l.source_id, l.entity, CASE WHEN l.entity IN ({WRITERS}) THEN l.state ELSE 'UNSUPPORTED' END AS state FROM ledger l")
 def unsupported(spark, d):
-    writers = spark.createDataFrame([("contact", True)], "entity string, writes boolean")
-    return read(spark, d, "ledger").join(F.broadcast(writers), "entity", "left").select("source_id", "entity", F.when(C("writes"), C("state")).otherwise("UNSUPPORTED").alias("state"))
+    writers = F.broadcast(spark.createDataFrame([(e, True) for e in forms.FORMS], "entity string, writes boolean"))
+    return read(spark, d, "ledger").join(writers, "entity", "left").select("source_id", "entity", F.when(C("writes"), C("state")).otherwise("UNSUPPORTED").alias("state"))
 
 
 @query("SELECT source_id, entity, substr('error in ' || coalesce(error_code, '-') || repeat('.', 5000), 1, 4000) AS message FROM ledger WHERE state = 'FAILED'")
@@ -526,6 +548,27 @@ def deterministic_id(spark, d):
     return read(spark, d, "raw_contact").where("id <> ''").select(i.destination_id("bl_contact", F.lit("T1"), F.lit("export"), F.lit("contact"), C("id")).alias("destination_id"), "id")
 
 
+OWNED = ("SELECT coalesce(m.source_id, c.id) AS source_id, coalesce(m.destination_id, c.new_id) AS destination_id, CASE WHEN c.id IS NULL THEN 'old' ELSE c.email END AS email, CASE WHEN m.source_id IS NULL THEN 'M' || CAST(c.k % 9 AS STRING) ELSE 'M0' END AS created_by, "
+         "CASE WHEN m.source_id IS NOT NULL AND c.id IS NOT NULL THEN 'M' || CAST(c.k % 9 AS STRING) END AS updated_by FROM known_contact m FULL JOIN (SELECT k, id, email, 'bl_contact_' || substr(sha256('T1|export|contact|' || id), 1, 32) AS new_id FROM raw_contact WHERE id <> '') c ON m.source_id = c.id")
+
+
+@query(OWNED)
+def upsert_owned(spark, d):
+    """On a conflict the id and who created the record stay; the rest is replaced, with who did it."""
+    current = read(spark, d, "known_contact").select("source_id", "destination_id", F.lit("old").alias("email"), F.lit("M0").alias("created_by"), F.lit(None).cast("string").alias("updated_by"))
+    new = read(spark, d, "raw_contact").where("id <> ''").select(
+        C("id").alias("source_id"), i.destination_id("bl_contact", F.lit("T1"), F.lit("export"), F.lit("contact"), C("id")).alias("destination_id"), "email", F.concat(F.lit("M"), C("k") % 9).alias("by"))
+    return r.upsert_by(current, new, "source_id", ["destination_id"], "by")
+
+
+@query(f"SELECT actor, CAST(sum(made) AS BIGINT) AS created, CAST(sum(1 - made) AS BIGINT) AS updated FROM (SELECT created_by AS actor, 1 AS made FROM ({OWNED}) a UNION ALL SELECT updated_by, 0 FROM ({OWNED}) b WHERE updated_by IS NOT NULL) t GROUP BY actor")
+def dest_counts_by_migration(spark, d):
+    """How many records of the destination's table each migration created, and how many it updated."""
+    acts = F.array(F.struct(C("created_by").alias("actor"), F.lit(1).alias("made")), F.struct(C("updated_by").alias("actor"), F.lit(0).alias("made")))
+    each = upsert_owned(spark, d).select(F.explode(acts).alias("a")).select("a.*").where("actor is not null")
+    return each.groupBy("actor").agg(F.sum("made").alias("created"), F.sum(1 - C("made")).alias("updated"))
+
+
 # Counting and checking
 
 LEVEL = "CASE WHEN stored_hash = sent_hash THEN 'hash_verified' WHEN stored_hash IS NOT NULL THEN 'FAILED' WHEN stored_size IS NULL THEN 'unverified' WHEN stored_size = size THEN 'size_verified' ELSE 'FAILED' END"
@@ -803,13 +846,35 @@ def status_panel(spark, d):
     return r.state_counts(read(spark, d, "ledger"), "migration_id").select("migration_id", "discovered").join(left_over(spark, d), "migration_id").select("migration_id", "discovered", "in_flight", "open_errors")
 
 
+@query(f"SELECT t.migration_id, t.discovered, t.in_flight, l.open_errors, f.pending AS files_pending, f.failed AS files_failed, coalesce(w.n, 0) AS to_review, "
+       f"CASE WHEN t.discovered = 0 THEN 0 ELSE CAST(floor((t.discovered - t.in_flight) * 100.0 / t.discovered + 0.5) AS BIGINT) END AS percent FROM ({TOTAL}) t JOIN ({LEFT}) l ON t.migration_id = l.migration_id "
+       f"LEFT JOIN ({PER_FILES}) f ON f.migration_id = t.migration_id LEFT JOIN ({WAITING}) w ON w.migration_id = t.migration_id")
+def status_panels(spark, d):
+    """What a migration's panel shows: records, files, errors, reviews, progress."""
+    counts = r.state_counts(read(spark, d, "ledger"), "migration_id").select("migration_id", "discovered", "in_flight")
+    files = file_counts_by_migration(spark, d).select("migration_id", C("pending").alias("files_pending"), C("failed").alias("files_failed"))
+    waiting = read(spark, d, "decision").where("status = 'OPEN'").groupBy("migration_id").agg(F.count("*").alias("to_review"))
+    percent = F.when(C("discovered") > 0, F.floor((C("discovered") - C("in_flight")) * 100.0 / C("discovered") + 0.5)).otherwise(0).cast("long")
+    whole = counts.join(left_over(spark, d).select("migration_id", "open_errors"), "migration_id").join(files, "migration_id", "left").join(waiting, "migration_id", "left")
+    return whole.select("migration_id", "discovered", "in_flight", "open_errors", "files_pending", "files_failed", F.coalesce("to_review", F.lit(0)).alias("to_review"), percent.alias("percent"))
+
+
 # Planning
 
-@query("SELECT s.migration_id, s.entity, CAST(row_number() OVER (PARTITION BY s.migration_id ORDER BY p.ord) AS BIGINT) AS place FROM selection s JOIN (SELECT DISTINCT entity, ord FROM entity_plan) p ON s.entity = p.entity")
+SUPPORTED = "(SELECT s.migration_id, s.entity FROM selection s JOIN capability c ON c.entity = s.entity AND c.platform = CAST(s.migration_id % 5 AS STRING) AND c.level <> 'false')"
+
+
+def supported(spark, d):
+    """The entities chosen for each migration that its source can give, at least on conditions."""
+    can = read(spark, d, "capability").where("level <> 'false'").select("platform", "entity")
+    return read(spark, d, "selection").withColumn("platform", (C("migration_id") % 5).cast("string")).join(F.broadcast(can), ["platform", "entity"], "left_semi").select("migration_id", "entity")
+
+
+@query(f"SELECT s.migration_id, s.entity, CAST(row_number() OVER (PARTITION BY s.migration_id ORDER BY p.ord) AS BIGINT) AS place FROM {SUPPORTED} s JOIN (SELECT DISTINCT entity, ord FROM entity_plan) p ON s.entity = p.entity")
 def entity_sequence(spark, d):
     order = F.broadcast(read(spark, d, "entity_plan").select("entity", "ord").distinct())
     place = F.row_number().over(Window.partitionBy("migration_id").orderBy("ord")).cast("long")
-    return read(spark, d, "selection").join(order, "entity").select("migration_id", "entity", place.alias("place"))
+    return supported(spark, d).join(order, "entity").select("migration_id", "entity", place.alias("place"))
 
 
 GAPS = ("SELECT s.migration_id, s.entity, p.kind, p.dep FROM selection s JOIN entity_plan p ON s.entity = p.entity AND p.dep IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM selection w WHERE w.migration_id = s.migration_id AND w.entity = p.dep)")
@@ -832,9 +897,9 @@ def depends_on(spark, d):
     return deps.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("dep")), ",").alias("deps"), F.count("*").alias("n"))
 
 
-@query("SELECT migration_id, entity FROM selection INTERSECT SELECT migration_id, 'contact' FROM migration")
+@query(f"SELECT migration_id, entity FROM {SUPPORTED} s")
 def selected_supported(spark, d):
-    return read(spark, d, "selection").select("migration_id", "entity").intersect(read(spark, d, "migration").select("migration_id", F.lit("contact").alias("entity")))
+    return supported(spark, d)
 
 
 @query("SELECT migration_id, max(watermark_at) FILTER (status = 'COMPLETED') AS since, coalesce(max(number), 0) + 1 AS number, CASE WHEN count(*) FILTER (status = 'COMPLETED') = 0 THEN 'HISTORICAL' ELSE 'DELTA' END AS kind FROM migration_pass GROUP BY migration_id")
@@ -944,6 +1009,39 @@ def capabilities(spark, d):
     return read(spark, d, "selection").groupBy("entity").agg(F.count("*").alias("migrations")).withColumn("supported", C("entity").isin("contact", "job", "note"))
 
 
+ANY_GAPS = ("SELECT s.migration_id, p.dep FROM selection s JOIN entity_plan p ON s.entity = p.entity AND p.kind = 'any' LEFT JOIN (SELECT DISTINCT w.migration_id, q.entity FROM selection w JOIN entity_plan q ON w.entity = q.dep AND q.kind = 'any') h "
+            "ON h.migration_id = s.migration_id AND h.entity = s.entity WHERE h.entity IS NULL")
+CHECKED = (f"SELECT m.migration_id, 'selection' AS what, true AS blocks, CASE WHEN count(s.entity) = 0 THEN 1 ELSE 0 END AS found FROM migration m LEFT JOIN selection s ON m.migration_id = s.migration_id GROUP BY m.migration_id "
+           f"UNION ALL SELECT m.migration_id, 'requires', true, count(g.dep) FROM migration m LEFT JOIN ({GAPS} AND p.kind = 'requires') g ON m.migration_id = g.migration_id GROUP BY m.migration_id "
+           f"UNION ALL SELECT m.migration_id, 'any', true, count(g.dep) FROM migration m LEFT JOIN ({ANY_GAPS}) g ON m.migration_id = g.migration_id GROUP BY m.migration_id "
+           f"UNION ALL SELECT m.migration_id, 'enriched', false, count(g.dep) FROM migration m LEFT JOIN ({GAPS} AND p.kind = 'enriched') g ON m.migration_id = g.migration_id GROUP BY m.migration_id "
+           f"UNION ALL SELECT m.migration_id, 'unavailable', true, count(g.entity) FROM migration m LEFT JOIN (SELECT x.migration_id, x.entity FROM selection x WHERE NOT EXISTS (SELECT 1 FROM {SUPPORTED} y WHERE y.migration_id = x.migration_id AND y.entity = x.entity)) g "
+           "ON m.migration_id = g.migration_id GROUP BY m.migration_id "
+           "UNION ALL SELECT m.migration_id, 'discovery', true, CASE WHEN EXISTS (SELECT 1 FROM discovery d WHERE d.migration_id = 'M' || CAST(m.migration_id % 9 AS STRING)) THEN 0 ELSE 1 END FROM migration m")
+
+
+@query(f"SELECT migration_id, what, blocks, found, NOT blocks OR found = 0 AS passed FROM ({CHECKED}) t")
+def preflight_checks(spark, d):
+    """What each check finds before a migration starts: nothing selected, entities that lack one they require or any of those they
+    need, entities that the source can't give, no discovery; what others would only be enriched by is advice."""
+    runs = read(spark, d, "migration").select("migration_id")
+    chosen = read(spark, d, "selection").select("migration_id", "entity")
+    gaps = missing_dependencies(spark, d)
+    lost = chosen.join(supported(spark, d), ["migration_id", "entity"], "left_anti")
+
+    def row(found, what, blocks, empty_is_bad=False):
+        counts = found.groupBy("migration_id").agg(F.count("*").alias("n"))
+        number = F.when(C("n").isNull(), 1).otherwise(0) if empty_is_bad else F.coalesce("n", F.lit(0))
+        return runs.join(counts, "migration_id", "left").select("migration_id", F.lit(what).alias("what"), F.lit(blocks).alias("blocks"), number.cast("long").alias("found"))
+
+    known = read(spark, d, "discovery").select("migration_id").distinct()
+    discovered = runs.withColumn("run", F.concat(F.lit("M"), C("migration_id") % 9)).join(known.withColumnRenamed("migration_id", "run"), "run", "left_semi")
+    out = row(chosen, "selection", True, True)
+    for found, what, blocks in ((gaps.where("kind = 'requires'"), "requires", True), (gaps.where("kind = 'any'"), "any", True), (gaps.where("kind = 'enriched'"), "enriched", False), (lost, "unavailable", True)):
+        out = out.unionByName(row(found, what, blocks))
+    return out.unionByName(row(discovered, "discovery", True, True)).withColumn("passed", ~C("blocks") | (C("found") == 0))
+
+
 @query("SELECT o.id, coalesce(CASE WHEN s.name LIKE '%Won%' THEN 'Sold' END, s.name, o.stage_id) AS stage FROM raw_opportunity o LEFT JOIN raw_stage s ON o.stage_id = s.id")
 def map_stages(spark, d):
     mapped = read(spark, d, "raw_stage").select(C("id").alias("stage_id"), "name", F.when(C("name").contains("Won"), "Sold").alias("to"))

@@ -136,6 +136,15 @@ def scan_since(spark, d):
     return people(spark, d).scan("contact", F.lit("2023-06-01").cast("timestamp")).select("k")
 
 
+@query(f"SELECT CASE WHEN k % 3 = 1 OR (k % 3 = 2 AND k % 8 IN (5, 6)) THEN 'unreadable' WHEN k % 3 = 2 AND k % 8 = 7 THEN 'undated' WHEN k % 3 = 0 OR k % 8 IN (3, 4) THEN 'changed' ELSE 'unchanged' END AS what, count(*) AS n FROM {READABLE} GROUP BY 1")
+def since_report(spark, d):
+    """How many records a scan since a time takes, and how many it leaves for what reason: dates that can't be read are told, not lost."""
+    source = people(spark, d)
+    at, text = source.changed_at("contact"), F.coalesce("modified", "created")
+    what = F.when(text.isNull(), "undated").when(at.isNull(), "unreadable").when(at > F.lit("2023-06-01").cast("timestamp"), "changed").otherwise("unchanged")
+    return source.scan("contact").select(what.alias("what")).groupBy("what").agg(F.count("*").alias("n"))
+
+
 def job_export(spark, d, form):
     rows = read(spark, d, "raw_job").select("k", "id", "status", C("created").cast("timestamp").alias("created"), F.when(C("k") % 2 == 0, C("created") + F.make_dt_interval(C("k").cast("int") % 90)).cast("timestamp").alias("modified"))
     folder = new_folder(spark, "export")
