@@ -34,7 +34,7 @@ CAPACITY = 4096
 END_ID = 1
 BUCKETS = 256
 TEXTS_AT_ONCE = 256
-KNOWN_CHUNKS = 400_000
+KNOWN_CHUNKS = 120_000
 
 
 def tokenizer_path() -> str:

@@ -37,6 +37,7 @@ MIN_DOCS = 4
 MIN_WEIGHT = 2.5
 PREFIXES = range(3, 9)
 REJECT = 0.7
+ENTRIES_HELD = 50_000
 # Look-alike letters and digit substitutions, each to its Latin letter.
 HOMOGLYPHS = str.maketrans({
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h",
@@ -69,12 +70,20 @@ def tally(train: DataFrame, found) -> DataFrame:
     """entry, clean, toxic: in how many rows of train (text, label) found(text) has the entry."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, list[int]] = {}
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame([(e, a, b) for e, (a, b) in seen.items()], columns=["entry", "clean", "toxic"])
+            seen.clear()
+            return made
+
         for p in parts:
-            seen: dict[str, list[int]] = {}
             for text, label in zip(p["text"], p["label"]):
                 for e in found(text):
                     seen.setdefault(e, [0, 0])[label] += 1
-            yield pd.DataFrame([(e, a, b) for e, (a, b) in seen.items()], columns=["entry", "clean", "toxic"])
+                if len(seen) > ENTRIES_HELD:  # a task hands on what it has counted so far
+                    yield out()
+        yield out()
 
     rows = train.select("text", "label").mapInPandas(count, "entry string, clean long, toxic long")
     return rows.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
