@@ -75,8 +75,7 @@ def test_tables_join_what_the_diagonal_leaves(spark, monkeypatch):
     rows = made()
     df = spark.createDataFrame(rows, DOC)
     monkeypatch.setattr(minhash_dedup, "diagonal", lambda classes: classes.select(F.lit(1).alias("key"), "rep", F.lit(1).alias("often")).limit(0))
-    for crowd in (0, 10**6):
-        assert got(df, crowd=crowd) == brute(rows)
+    assert got(df, crowd=10**6) == brute(rows)
 
 
 def test_minhash_of_the_given_table(spark):
