@@ -72,15 +72,17 @@ column("safe_name", "raw_file", lambda: n.safe_name(C("name")), "replace(name, '
 column("mask_value", "raw_contact", lambda: n.mask(C("street")),
        "CASE WHEN length(street) <= 8 THEN repeat('*', length(street)) ELSE left(street, 3) || repeat('*', CAST(least(length(street) - 6, 12) AS INTEGER)) || right(street, 3) END")
 column("null_if_empty", "raw_job", lambda: n.null_if_empty(C("value")), "CASE WHEN trim(value) <> '' THEN value END")
-column("norm_bool", "raw_job", lambda: n.boolean(F.element_at(F.array(*map(F.lit, ["Yes", "off", "maybe"])), (C("k") % 3 + 1).cast("int"))),
-       "CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false END")
+TRUE, FALSE = (", ".join(f"'{x}'" for x in some) for some in (n.TRUE, n.FALSE))
+column("norm_bool", "raw_user", lambda: n.boolean(C("active_text")), f"CASE WHEN lower(trim(active_text)) IN ({TRUE}) THEN true WHEN lower(trim(active_text)) IN ({FALSE}) THEN false END")
 column("dispositions", "raw_job", lambda: r.disposition(C("state")),
        "CASE WHEN state = 'CREATED' THEN 'MIGRATED' WHEN state NOT IN ('DISCOVERED', 'QUEUED', 'PROCESSING') THEN state END")
 column("idem_key", "raw_contact", lambda: F.concat_ws(":", F.lit("mig_1"), F.lit("export"), F.lit("contact"), "id"), "'mig_1:export:contact:' || id")
 column("fallback_id", "raw_contact", lambda: F.coalesce(n.blank_null(C("id")), F.concat(F.lit("__unidentified:contact:k"), "k")),
        "CASE WHEN id = '' THEN '__unidentified:contact:k' || k ELSE id END")
 column("asset_hash", "raw_file", lambda: F.sha2("text", 256), "sha256(text)")
-column("file_reject", "raw_file", lambda: r.rejection(C("name"), C("size")), "CASE WHEN name LIKE '%.exe' THEN 'blocked_extension' WHEN size = 0 THEN 'empty' END")
+ENDS = ", ".join(f"'{x}'" for x in r.BLOCKED)
+column("file_reject", "raw_file", lambda: r.rejection(C("name"), C("size")),
+       f"CASE WHEN lower(regexp_extract(name, '(\\.[A-Za-z0-9]+)$', 1)) IN ({ENDS}) THEN 'blocked_extension' WHEN size > {r.LARGEST} THEN 'too_large' WHEN size = 0 THEN 'empty' END")
 column("file_integrity", "raw_file", lambda: r.integrity(C("size"), C("stored_size")), "CASE WHEN size = stored_size THEN 'size_verified' ELSE 'failed' END")
 
 
@@ -171,10 +173,10 @@ def collapse_repeats(spark, d):
 
 
 @query("SELECT coalesce(m.source_id, c.id) AS id, coalesce(m.destination_id, 'D-' || c.id) AS destination_id, coalesce(c.email, CASE WHEN c.id IS NULL THEN 'old' END) AS email "
-       "FROM object_map m FULL JOIN (SELECT id, email FROM raw_contact WHERE id <> '' AND k % 2 = 0) c ON m.source_id = c.id")
+       "FROM object_map m FULL JOIN (SELECT id, email FROM raw_contact WHERE id <> '') c ON m.source_id = c.id")
 def upsert_contacts(spark, d):
     current = read(spark, d, "object_map").select(C("source_id").alias("id"), "destination_id", F.lit("old").alias("email"))
-    new = read(spark, d, "raw_contact").where("id <> '' and k % 2 = 0").select("id", F.concat(F.lit("D-"), "id").alias("destination_id"), "email")
+    new = read(spark, d, "raw_contact").where("id <> ''").select("id", F.concat(F.lit("D-"), "id").alias("destination_id"), "email")
     return r.upsert(current, new, "id", ["destination_id"])
 
 
