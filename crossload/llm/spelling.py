@@ -262,23 +262,31 @@ def near_pairs(nodes: DataFrame, cut: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([text.take(a), text.take(b), pa.array(n[b.to_numpy()])], ["word", "near", "near_n"])
 
         held, used = [], 0
-        for p in parts:  # whole nodes at a time
-            held.append(p)
-            used += int(p.column(1).to_numpy().sum()) * 2
-            if used > BATCH_BYTES:
-                rows = pa.Table.from_batches(held)
-                key = rows.column("key").to_numpy()
-                end = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
-                if end:
-                    yield from found(rows.slice(0, end))
-                held = rows.slice(end).to_batches()
-                used = int(rows.column("size").to_numpy()[end:].sum()) * 2
+        for p in parts:  # whole nodes at a time, and of one length, so that no long word widens the others
+            at = 0
+            while at < p.num_rows:
+                length = p.column(5).to_numpy()
+                same = int(np.searchsorted(length, length[at], "right"))
+                if held and held[0].column(5)[0].as_py() != length[at]:
+                    yield from found(pa.Table.from_batches(held))
+                    held, used = [], 0
+                held.append(p.slice(at, same - at))
+                used += int(p.column(1).to_numpy()[at:same].sum()) * 2
+                at = same
+                if used > BATCH_BYTES:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    key = rows.column("key").to_numpy()
+                    end = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+                    if end:
+                        yield from found(rows.slice(0, end))
+                    held = rows.slice(end).to_batches()
+                    used = int(rows.column("size").to_numpy()[end:].sum()) * 2
         if held:
-            rows = pa.Table.from_batches(held)
-            if rows.num_rows:
-                yield from found(rows)
+            yield from found(pa.Table.from_batches(held))
 
-    sorted_rows = nodes.select("key", "size", "word", "n", "lost").repartition("key").sortWithinPartitions("size", "key")
+    # a node holds whole words and, one longer, words that lost a letter: its length is one for both
+    length = (F.col("size") - (F.col("lost") >= 0).cast("long")).alias("length")
+    sorted_rows = nodes.select("key", "size", "word", "n", "lost", length).repartition("key").sortWithinPartitions("length", "key")
     return sorted_rows.mapInArrow(run, "word string, near string, near_n long")
 
 

@@ -90,5 +90,26 @@ def test_variants_of_the_given_table(spark):
     assert {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.op11_spelling_variants(spark, path).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("batch_bytes", [1, 3000])
+def test_variants_in_several_batches_of_a_task(spark, tmp_path, monkeypatch, batch_bytes):
+    """A node's whole words and those that lost a letter are searched together, also where a task holds many nodes."""
+    rows = made(6)
+    monkeypatch.setattr(spelling, "BATCH_BYTES", batch_bytes)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert result(spark, tmp_path, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_variants_with_a_very_long_word(spark, tmp_path):
+    """Memory goes with the letters held, not with the longest word for each."""
+    rows = [(1, " ".join(["a" * 300_000] * 6 + ["a" * 150_000 + "b" + "a" * 150_000] * 30)), *made(7)]
+    got = {r[0]: r for r in result(spark, tmp_path, rows)}
+    assert got["a" * 300_000][1:] == ("a" * 150_000 + "b" + "a" * 150_000,) * 2 + (6, 1, 30)
+    assert {r for w, r in got.items() if len(w) < 300_000} == brute(rows[1:])
+
+
 def test_variants_of_nothing(spark, tmp_path):
     assert result(spark, tmp_path, []) == set()
