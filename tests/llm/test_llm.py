@@ -178,6 +178,21 @@ def test_media_links_copies_behind_a_stranger(spark, crowd, monkeypatch):
     assert media.matches(df).count() == 3 * 6 * media.TABLES
 
 
+@pytest.mark.parametrize("block", [10_000, 50])
+def test_media_compares_all_holders_of_a_crowded_piece(spark, block):
+    """Of 120 descriptors with one piece in common, every pair within the distance is found, not only those
+    that differ in few bits."""
+    gen = random.Random(4)
+    rows = []
+    for ident in range(120):
+        flipped = sum(1 << k for k in gen.sample(range(32, 126), gen.randrange(30)))
+        rows.append((ident, 0, 1.0, 1.0, 1.0, 0.0, (flipped ^ 77) & (2**63 - 1), flipped >> 64))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and sum((a[k] ^ b[k]).bit_count() for k in (6, 7)) <= media.FAR_BITS}
+    assert len(want) > 1000
+    df = spark.createDataFrame(rows, "id long, corner int, x float, y float, scale float, angle float, d0 long, d1 long")
+    assert {(r.p.id, r.q.id) for r in media.matches(df, media.FAR_BITS, block).collect()} == want
+
+
 def test_media_crops_and_resized(spark):
     """At least 0.9 of each kind: crops of half the area, crops of a quarter of large pictures, and resized copies."""
     import numpy as np
