@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, free, settle, table
+from .common import drop, free, settle, small_batches, table
 
 N = 3
 SHARE = 0.3
@@ -191,6 +191,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a copy of a benchmark item."""
+    small_batches(spark)
     found = matches(docs, table(spark, sf_dir, "benchmark"))
     sig = free(docs, "sig")
     # whether a text leaks depends on the text alone

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, free, settle, table
+from .common import components, drop, free, settle, small_batches, table
 
 N = 5
 PERCENT = 80
@@ -451,6 +451,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: of the one with the smallest id, and of its texts one.
     Documents without words all stay. Rows that repeat both id and text are one document."""
+    small_batches(spark)
     linked = link(docs)
     group = F.when(F.col("component_id").isNotNull(), F.col("component_id"))
     first = linked.where("sid is not null").groupBy(group.alias("g"), F.when(group.isNull(), F.col("sid")).alias("s")).agg(

@@ -15,10 +15,14 @@ no rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import os
 import re
 import struct
+import sys
+import threading
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -28,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free, settle, table
+from .common import free, settle, small_batches, table
 
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 256
 TEXTS_AT_ONCE = 256
 KNOWN_CHUNKS = 300_000
+LINGER = 5.0
 
 
 def tokenizer_path() -> str:
@@ -61,7 +66,7 @@ def raw_encoder(path: str | None = None):
     space and no token crosses it, so a text's ids are those of its chunks between spaces and line
     feeds. Chunks seen before are remembered, and so are the pieces that the tokenizer's own pattern
     makes of them: a new piece goes to the vocabulary's merges alone. Both memories are cleared at
-    KNOWN_CHUNKS entries; a worker keeps them from task to task."""
+    KNOWN_CHUNKS entries; a worker keeps them from task to task (see lingering)."""
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path or tokenizer_path())
@@ -103,24 +108,50 @@ def encoder(path: str | None = None):
     return lambda text: np.frombuffer(raw(text), "<u4").tolist()
 
 
+def forget() -> None:
+    """Drop the encoder with all that it remembers, and hand what is free back to the system."""
+    raw_encoder.cache_clear()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has none
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+class lingering:
+    """Within it, a worker has its encoder; LINGER seconds after the last one has ended, the worker forgets it, as Spark keeps
+    workers for other work, which would find that memory taken."""
+
+    timer: threading.Timer | None = None
+
+    def __enter__(self) -> None:
+        if lingering.timer:
+            lingering.timer.cancel()
+
+    def __exit__(self, *error) -> None:
+        pa.default_memory_pool().release_unused()  # of the thread that calls it
+        lingering.timer = threading.Timer(LINGER, forget)
+        lingering.timer.daemon = True
+        lingering.timer.start()
+
+
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text) to pieces: doc_id, piece, start, length, ids (little-endian 32-bit)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end, names = raw_encoder(path), np.array([END_ID], "<u4").tobytes(), ["doc_id", "piece", "start", "length", "ids"]
-        for whole in parts:
-            for p in (whole.slice(k, TEXTS_AT_ONCE) for k in range(0, whole.num_rows, TEXTS_AT_ONCE)):
-                rows = []
-                for at, text in enumerate(p.column(1).to_pylist()):
-                    ids = encode(text or "") + end
-                    for n, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        rows.append((at, n, s // 4, ids[s : s + 4 * capacity]))
-                at, n, start, ids = zip(*rows)
-                # ids stay Arrow numbers, so that null and large ones pass as they are
-                yield pa.RecordBatch.from_arrays([
-                    p.column(0).take(pa.array(at)), pa.array(n, "int32"), pa.array(start, "int64"),
-                    pa.array([len(x) // 4 for x in ids], "int64"), pa.array(ids, "binary")], names)
+        with lingering():
+            encode, end, names = raw_encoder(path), np.array([END_ID], "<u4").tobytes(), ["doc_id", "piece", "start", "length", "ids"]
+            for whole in parts:
+                for p in (whole.slice(k, TEXTS_AT_ONCE) for k in range(0, whole.num_rows, TEXTS_AT_ONCE)):
+                    rows = []
+                    for at, text in enumerate(p.column(1).to_pylist()):
+                        ids = encode(text or "") + end
+                        for n, s in enumerate(range(0, len(ids), 4 * capacity)):
+                            rows.append((at, n, s // 4, ids[s : s + 4 * capacity]))
+                    at, n, start, ids = zip(*rows)
+                    # ids stay Arrow numbers, so that null and large ones pass as they are
+                    yield pa.RecordBatch.from_arrays([
+                        p.column(0).take(pa.array(at)), pa.array(n, "int32"), pa.array(start, "int64"),
+                        pa.array([len(x) // 4 for x in ids], "int64"), pa.array(ids, "binary")], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids binary"
@@ -224,5 +255,6 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     packed = pack(settle(cut(docs)))
     return packed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

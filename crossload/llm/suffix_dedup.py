@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, free, settle, table
+from .common import drop, free, settle, small_batches, table
 
 WINDOW = 200
 K = 24
@@ -345,6 +345,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages. Bytes of a character cut in half are dropped;
     documents of which nothing is left go."""
+    small_batches(spark)
     sig, left, new = (free(docs, c) for c in ("sig", "left", "new"))
     # what is left of a text depends on the text alone
     kept = cut_repeats(docs).where("n_removed > 0").select(F.col("sig").alias(sig), F.col("kept").alias(left)).dropDuplicates([sig])

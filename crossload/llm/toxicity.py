@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, free, settle, table
+from .common import drop, free, settle, small_batches, table
 
 SAMPLE = 20_000
 MIN_DOCS = 4
@@ -232,6 +232,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score as toxic; learns from labels of the incoming documents."""
+    small_batches(spark)
     model = learned(docs, table(spark, sf_dir, "labels"), F.lit(True))
     name = free(docs, "score")
     return score(docs, model, out=name).where(F.col(name) < REJECT).select(*docs.columns)
