@@ -58,11 +58,10 @@ def form_job(spark, d):
         "id", "job_number", "name", "contact_id", "street", "city", C("region").alias("state"), "zip", "job_type", "status", "value", F.split("user_ids", ",").alias("user_ids"), C("start_text").alias("start"),
         C("done_text").alias("completed"), F.lit(None).cast("string").alias("lead_source"), "tags", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"), F.lit(None).cast("string").alias("modified"))
     jobs = forms.canonical_job(raw)
-    users = read(spark, d, "raw_user").select(C("id").alias("u"))
-    each = jobs.select("source_object_id", F.posexplode("assigned_user_source_ids").alias("pos", "u")).join(users, "u")
-    found = each.groupBy("source_object_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "u"))), lambda x: F.concat(F.lit("D-"), x["u"])).alias("assigned_user_destination_ids"))
-    contacts = read(spark, d, "raw_contact").where("id <> ''")
-    whole = resolved(jobs.join(found, "source_object_id", "left"), "contact_source_id", contacts, "contact_destination_id")
+    users = read(spark, d, "raw_user").select(C("id").alias("source_id"), F.concat(F.lit("D-"), "id").alias("destination_id"))
+    contacts = read(spark, d, "raw_contact").select("id").where("id <> ''").distinct()
+    found = r.resolve_lists(jobs, "assigned_user_source_ids", users, "assigned_user_destination_ids")
+    whole = resolved(found, "contact_source_id", contacts, "contact_destination_id")
     return forms.project(whole.withColumnRenamed("source_object_id", "id"), "job", "id")
 
 
