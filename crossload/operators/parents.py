@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from ..sources.folders import written
+
 # Entity, the column with the source id (or ids), and the entity it points to. Where that is in a
 # column of the record itself, its name stands in braces.
 REFERENCES = [
@@ -48,16 +50,23 @@ def references(records: DataFrame, entity: str) -> DataFrame:
 
 
 def resolved(held: DataFrame, known: DataFrame) -> DataFrame:
-    """References (of any number of entities) with destination_id, by known (entity, source_id, destination_id)."""
-    return held.join(known.select(F.col("entity").alias("target"), "source_id", "destination_id"), ["target", "source_id"], "left")
+    """References (of any number of entities) with destination_id, by known (entity, source_id, destination_id). The ids that
+    are referred to are looked up first: they are far fewer than the references, which then need no shuffle if those
+    found fit a broadcast."""
+    at = ["target", "source_id"]
+    asked = held.select(*at).distinct()
+    found = written(asked.join(known.select(F.col("entity").alias("target"), "source_id", "destination_id"), at), "known")
+    return held.join(found, at, "left")
 
 
 def parents(found: DataFrame) -> DataFrame:
     """entity, id, parents (a map of column to the destination ids, in order; those that aren't known are left out)
     and warnings (PARENT_UNRESOLVED: column, target and source id of each)."""
-    per = found.groupBy("entity", "id", "column").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("destination_id").isNotNull(), F.struct("place", "destination_id")))), lambda x: x["destination_id"]).alias("ids"),
-        F.array_sort(F.collect_list(F.when(F.col("destination_id").isNull(), F.struct("place", "target", "source_id")))).alias("lost"))
-    warnings = F.flatten(F.collect_list(F.transform("lost", lambda x: F.struct(
-        F.lit("PARENT_UNRESOLVED").alias("code"), F.col("column"), x["target"].alias("target"), x["source_id"].alias("source_id")))))
-    return per.groupBy("entity", "id").agg(F.map_from_entries(F.collect_list(F.struct("column", "ids"))).alias("parents"), F.array_sort(warnings).alias("warnings"))
+    lost = F.when(F.col("destination_id").isNull(), F.struct("target", "source_id")).alias("lost")
+    narrow = found.select("entity", "id", "column", F.col("place").cast("int").alias("place"), "destination_id", lost)
+    per = narrow.groupBy("entity", "id").agg(F.array_sort(F.collect_list(F.struct("column", "place", "destination_id", "lost"))).alias("all"))
+    named = F.array_distinct(F.transform("all", lambda x: x["column"]))
+    ids = lambda c: F.transform(F.filter("all", lambda x: (x["column"] == c) & x["destination_id"].isNotNull()), lambda x: x["destination_id"])
+    warnings = F.transform(F.filter("all", lambda x: x["lost"].isNotNull()), lambda x: F.struct(
+        F.lit("PARENT_UNRESOLVED").alias("code"), x["column"].alias("column"), x["lost"]["target"].alias("target"), x["lost"]["source_id"].alias("source_id")))
+    return per.select("entity", "id", F.map_from_entries(F.transform(named, lambda c: F.struct(c, ids(c)))).alias("parents"), F.array_sort(warnings).alias("warnings"))

@@ -4,7 +4,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from crossload.plans import migration
+from crossload.plans import migration, writing
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +39,9 @@ def test_users_of_one_id_do_not_multiply_the_rows(spark, tmp_path):
     assert rows and all(set(r.users.split(";")) == {"U1000!"} and len(r.users.split(";")) % 111 == 0 for r in rows)
     lines = spark.read.parquet(str(tmp_path / "lineitem.parquet")).count()
     assert sum(p.metrics().apply("numOutputRows").value() for p in nodes(found) if "Join" in p.nodeName()) <= lines
+
+
+def test_references_are_shuffled_once(spark):
+    found = writing.resolve_parents(spark, SF)
+    assert found.collect()
+    assert [p.nodeName() for p in nodes(found)].count("Exchange") == 1

@@ -34,7 +34,7 @@ def folder(spark, tmp_path_factory):
     return top
 
 
-@pytest.mark.parametrize("name", ["apply_outcomes", "form_job", "resolve_assignees"])
+@pytest.mark.parametrize("name", ["apply_outcomes", "form_job", "resolve_assignees", "resolve_parents", "parent_warnings"])
 def test_oracle_where_ids_repeat(spark, folder, name):
     got = q.QUERIES[name](spark, folder)
     cols = sorted(got.columns)
